@@ -44,7 +44,8 @@ def _chunked(df: DataFrame, text: Column, divisor: int) -> DataFrame:
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, salts: int = SALTS) -> DataFrame:
     """(id, hash, chunk): every occurrence of a repeated chunk but the first."""
     base = docs.select(F.col("doc_id").cast("bigint").alias(ID), F.xxhash64("text").alias(HASH), F.col("text").alias("text")).where("text is not null")
-    cut = _chunked(base, F.col("text"), divisor).select(ID, HASH, F.posexplode("chunks").alias("chunk", "c"))
+    # The outer form: for the inner one Spark infers a filter on the array's size and inlines its making, per element, below it.
+    cut = _chunked(base, F.col("text"), divisor).select(ID, HASH, F.posexplode_outer("chunks").alias("chunk", "c"))
     cut = cut.where(F.col("c.n") >= min_lines).select(ID, HASH, "chunk", F.md5("c.body").alias("digest"), F.col("c.body").alias("body"))
     twice = cut.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
     near = cut.join(twice, "digest", "left_semi")
