@@ -9,12 +9,12 @@ Words are labelled by their marginals from the forward-backward algorithm, over
 The chain of a batch is worked off in blocks: the product of each block's transfer matrices, then the vectors between
 blocks, then those inside all blocks at once.  That is exact, and a text of a million words costs no more a word than a short one.
 
-A document is rejected where it has no word, or its most frequent label is ``und``, or that label's share of the words is
-below ``min_share``.
+A document's language is the most frequent label but ``und``.  It is rejected where it has no word of a language, or that
+language's share of all its words is below ``min_share``: numbers and addresses beside a sentence don't condemn it.
 
 Training reads at most ``TRAIN_DOCS`` labelled rows of each of at most ``LANGUAGES`` languages (the most frequent); scoring reads everything.
 
-Defined results: null, empty and wordless texts have no language (lang_pred null, share and confidence 0) and are rejected; rows with a
+Defined results: null, empty and wordless texts, and those of no language, have none (lang_pred null, share and confidence 0) and are rejected; rows with a
 null language train nothing; ties between labels go to the first in alphabetical order; repeated rows get equal results; without any
 labelled row every word is ``und``; an empty table gives an empty one; other columns pass through untouched.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.bytewords import Words, mix, slices, words
 
-UND, BUCKETS, TRAIN_DOCS, LANGUAGES, SEQUENCES, STEPS, MIN_SHARE = "und", 1 << 16, 150, 64, 1500, 60, 0.5
+UND, BUCKETS, TRAIN_DOCS, LANGUAGES, SEQUENCES, STEPS, MIN_SHARE = "und", 1 << 16, 150, 64, 1500, 60, 0.25
 
 
 @dataclass
@@ -252,16 +252,20 @@ def label_batch(model: Model, texts: pa.Array, min_share: float) -> tuple[np.nda
     label = marg.argmax(axis=1)
     doc = w.doc()
     votes = np.bincount(doc * k + label, minlength=n * k).reshape(n, k)
-    best = votes.argmax(axis=1)
+    und = model.labels.index(UND)
+    tongue = votes.copy()
+    tongue[:, und] = -1
+    best = tongue.argmax(axis=1)
+    best = np.where(votes[np.arange(n), best] > 0, best, und)
+    best_und = best == und
     some = np.maximum(count, 1)
     share = votes[np.arange(n), best] / some
     confidence = np.bincount(doc, marg[np.arange(len(w)), best[doc]], n) / some
     turn = np.zeros(len(w), dtype=np.int64)
     turn[1:] = (label[1:] != label[:-1]) & (doc[1:] == doc[:-1])
     switches = np.bincount(doc, turn, n).astype(np.int64)
-    und = model.labels.index(UND)
-    keep = (count > 0) & (best != und) & (share >= min_share)
-    return np.where(count > 0, best, -1), np.where(count > 0, share, 0), confidence, count, switches, keep, label, w.first
+    keep = ~best_und & (share >= min_share)
+    return np.where(best_und, -1, best), np.where(best_und, 0, share), np.where(best_und, 0, confidence), count, switches, keep, label, w.first
 
 
 SPANS = "array<struct<start:int,n:int,lang:string>>"
