@@ -79,7 +79,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_PI, n)[start])
+    return mix((total[end] - total[start]) * powers(_PI, n + 1)[start])
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -181,7 +181,7 @@ def near_edges(sigs: DataFrame, limit: int = LIMIT, all_pairs: bool = False) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: root is the least node of its connected component.
+    """(node, root) for every node of an edge that isn't the least of its connected component; root is that least node.
 
     Large-star and small-star steps alternate until the edges stay the same; each round is written to the shared folder.
     """
