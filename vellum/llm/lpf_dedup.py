@@ -196,7 +196,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     """(id, hash, spans): of each document that repeats a passage, the merged word spans that occurred before, with the first copy's doc_id."""
     if not 0 < gram <= min_words:
         raise ValueError("gram must lie between 1 and min_words")
-    texts = keyed_texts(docs).where("text is not null")
+    return _spans_in(keyed_texts(docs).where("text is not null"), min_words, gram)
+
+
+def _spans_in(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
     found = texts.select(ID, HASH, "text").mapInArrow(_anchor_rows(min_words, gram), f"{ID} bigint, {HASH} bigint, anchor bigint, word int")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = found.join(twice, "anchor", "left_semi").groupBy(ID, HASH).agg(F.collect_set(F.struct("anchor", "word")).alias("found"))
@@ -246,8 +249,9 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """(id, hash, spans, text) of the documents that repeat a passage, text without it."""
-    spans = repeated_spans(docs, min_words, gram)
-    texts = keyed_texts(docs)
+    # Both joins with the texts shuffle them in the same way, so Spark does it once.
+    texts = keyed_texts(docs).where("text is not null")
+    spans = _spans_in(texts, min_words, gram)
     both = texts.join(spans.hint("shuffle_hash"), same_document(texts, spans)).select(texts[ID], texts[HASH], "text", "spans")
     return both.mapInArrow(_cut_rows, f"{ID} bigint, {HASH} bigint, spans array<struct<start:int,n:int,source:bigint>>, text string")
 
