@@ -1,0 +1 @@
+"""DataFrame operators: index build, search, batch search, merge, evaluation."""
