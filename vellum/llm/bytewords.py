@@ -40,7 +40,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
+        if size <= 1 << 20:  # 8 MB for each base; more would stay in every worker
             _powers[int(base)] = have
     return have[:n]
 
@@ -125,7 +125,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return found[at], at
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows, of about ``limit`` bytes of text (one row may exceed it)."""
     if not batch.num_rows:
         return
