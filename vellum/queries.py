@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(fields, F.floor(F.col("_o") / SEGMENT), F.col("_o")).drop("_o")
 
 
-def index(spark: SparkSession, sf_dir: str, config: IndexConfig = CONFIG) -> Snapshot:
-    return snapshot(corpus(spark, sf_dir), config)
+_OPEN: dict[tuple[str, str], Snapshot] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The index of the documents table.  It is made once in a session and kept for all searches, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = snapshot(corpus(spark, sf_dir), CONFIG).persist()
+    return _OPEN[key]
 
 
 def hits(found: DataFrame) -> DataFrame:
@@ -185,7 +193,7 @@ def number_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", render(F.col("p_retailprice"), p.schema["p_retailprice"].dataType).alias("price"), render(F.col("p_size"), p.schema["p_size"].dataType).alias("size"))
 
 
-@register("timestamp_field", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') || 'Z' AS ts_text FROM events")
+@register("timestamp_field", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) % 1000000 // 1000)::VARCHAR, 3, '0') || 'Z' AS ts_text FROM events")
 def timestamp_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select("event_id", render(F.col("ts"), e.schema["ts"].dataType).alias("ts_text"))
@@ -264,23 +272,28 @@ def filter_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(search(index(spark, sf_dir), "anea", CONFIG, top_k=20, filter=(F.col("lang") == "en") & (F.col("n_chars") > 3000)))
 
 
-def _with_tombstones(snap: Snapshot) -> Snapshot:
-    gone = snap.docs.where(F.col("doc_id").cast("bigint") % 3 == 0).select("segment_id", "doc_id")
-    return Snapshot(snap.docs, snap.postings, snap.term_stats, snap.field_stats, snap.meta, gone, snap.fields)
+_GONE = "(SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def _with_tombstones(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The index after the documents labelled toxic were deleted."""
+    snap = index(spark, sf_dir)
+    gone = read(spark, sf_dir, "labels").where("toxic = 1").select(F.floor(F.col("doc_id") / SEGMENT).cast("string").alias("segment_id"), F.col("doc_id").cast("string").alias("doc_id"))
+    return replace(snap, tombstones=gone)
 
 
-@register("tombstones", _search_sql({T("anea"): 1.0, T("erin"): 1.0}, "(m0 OR m1) AND a.ord % 3 <> 0", limit=20))
+@register("tombstones", _search_sql({T("anea"): 1.0, T("erin"): 1.0}, f"(m0 OR m1) AND a.ord NOT IN {_GONE}", limit=20))
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(search(_with_tombstones(index(spark, sf_dir)), "anea erin", CONFIG, top_k=20))
+    return hits(search(_with_tombstones(spark, sf_dir), "anea erin", CONFIG, top_k=20))
 
 
 # ---------------------------------------------------------------- merge
 
-_KEPT = "kept AS (SELECT seg, ord, row_number() OVER (ORDER BY size, seg, ord) - 1 AS new_ord FROM docs JOIN (SELECT seg, count(*) AS size FROM docs GROUP BY seg) z USING (seg) WHERE ord % 3 <> 0)"
+_KEPT = f"kept AS (SELECT seg, ord, row_number() OVER (ORDER BY size, seg, ord) - 1 AS new_ord FROM docs JOIN (SELECT seg, count(*) AS size FROM docs GROUP BY seg) z USING (seg) WHERE ord NOT IN {_GONE})"
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, DataFrame]:
-    snap = _with_tombstones(index(spark, sf_dir))
+    snap = _with_tombstones(spark, sf_dir)
     sizes = snap.meta.select("segment_id", F.row_number().over(Window.orderBy("doc_count", F.col("segment_id").cast("bigint"))).alias("merge_ord"))
     return snap, mapping(snap.docs, sizes, snap.tombstones)
 
@@ -291,13 +304,13 @@ def tombstone_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select(F.col("doc_ord").cast("string").alias("doc_id"), F.col("segment_id").cast("bigint").alias("segment_id"), F.col("new_ord").cast("bigint").alias("new_ord"))
 
 
-@register("merge_postings", f"WITH {DOCS}, {TOK}, {_KEPT} SELECT field, term, new_ord AS doc_ord, count(*)::INT AS tf FROM tok JOIN kept USING (seg, ord) WHERE field = 'title' GROUP BY ALL")
+@register("merge_postings", f"WITH {DOCS}, {TOK}, {_KEPT} SELECT field, term, new_ord AS doc_ord, count(*)::INT AS tf FROM tok JOIN kept USING (seg, ord) GROUP BY ALL")
 def merge_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap, moved = _merged(spark, sf_dir)
-    return merged_postings(snap.postings, moved, "seg-000009").where("field = 'title'").select("field", "term", F.col("doc_ord").cast("bigint").alias("doc_ord"), "tf")
+    return merged_postings(snap.postings, moved, "seg-000009").select("field", "term", F.col("doc_ord").cast("bigint").alias("doc_ord"), "tf")
 
 
-@register("merge_stats", f"WITH {DOCS}, {TOK}, {LEN.split(', fs AS')[0]} SELECT field, count(*) AS doc_count, round(avg(len), 6) AS avg_length FROM len WHERE ord % 3 <> 0 GROUP BY field")
+@register("merge_stats", f"WITH {DOCS}, {TOK}, {LEN.split(', fs AS')[0]} SELECT field, count(*) AS doc_count, round(avg(len), 6) AS avg_length FROM len WHERE ord NOT IN {_GONE} GROUP BY field")
 def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap, moved = _merged(spark, sf_dir)
     lengths = merged_postings(snap.postings, moved, "seg-000009").select("segment_id", "field", "doc_ord", "length").distinct()
