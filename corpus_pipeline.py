@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated multi-line chunks go; a document that has no text left stays, empty."""
-    out = line_chunks.line_dedup(docs)
+    """Later copies of repeated multi-line passages go; a document that has no text left stays, empty."""
+    out = line_chunks.passage_dedup(docs)
     if "n_chars" not in out.columns:
         return out
     kind = out.schema["n_chars"].dataType

@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from vellum.llm import bytewords, decontam, hamming_dedup, html_bp, langid_crf, line_chunks, lpf_dedup, packing, quality_fm, suffixes, warc
 
 WORD = re.compile("[a-zA-Z0-9\x80-\U0010ffff]+")
@@ -77,6 +78,29 @@ def test_line_chunks_are_shift_resistant(spark):
     assert all(f"end {i}" in out[i] for i in range(8))
 
 
+def test_repeated_lines_of_all_passages(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(40):
+        lines = [f"own {i} {k}" for k in range(rng.randrange(4))]
+        for k in range(rng.randrange(3)):
+            a = rng.randrange(20)
+            lines += [f"shared {x}" for x in range(a, a + rng.randrange(1, 5))] + [""] * rng.randrange(3) + [f"between {i} {k}"] * rng.randrange(2)
+        texts.append("\n".join(lines))
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(full, full[1:]):
+            key = (lines[a], b - a, lines[b])
+            gone |= set(range(a, b + 1)) if key in seen else set()
+            seen.add(key)
+        want[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == want and want != dict(enumerate(texts))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeated_passages(spark, seed):
     texts, least = corpus(seed), 8

@@ -8,6 +8,9 @@ only nominate chunks, equality of their bytes decides.  All of it runs in built-
 Defined results: null text stays null, an empty text stays empty, rows repeated whole count as one document
 and keep or lose the same chunks, a text that loses all its chunks becomes the empty string, null ids sort
 first, an empty table gives an empty table, other columns pass through untouched whatever their names.
+
+Chunk edges hide most repeats that are short.  ``passage_dedup`` has none: it compares every two neighbouring lines, and removes
+every line of a passage of two lines or more that stands earlier, anywhere.  Blank lines make no passage, but go with one.
 """
 
 from __future__ import annotations
@@ -48,7 +51,11 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     cut = _chunked(base, F.col("text"), divisor).select(ID, HASH, F.posexplode_outer("chunks").alias("chunk", "c"))
     cut = cut.where(F.col("c.n") >= min_lines).select(ID, HASH, "chunk", F.md5("c.body").alias("digest"), F.col("c.body").alias("body"))
     twice = cut.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
-    near = cut.join(twice, "digest", "left_semi")
+    return _later(cut.join(twice, "digest", "left_semi"), salts)
+
+
+def _later(near: DataFrame, salts: int) -> DataFrame:
+    """(id, hash, chunk) of every one of the equal bodies but the first."""
     order = (F.col(ID).asc_nulls_first(), HASH, "chunk")
     # A chunk that half the corpus holds is ranked in `salts` parts first; only the first of each part goes on.
     near = near.withColumn("salt", F.pmod(F.hash(ID, HASH, "chunk"), F.lit(salts)))
@@ -74,6 +81,44 @@ def _without(both: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return parts.withColumn(ROW, F.col(ROW).withField("text", new))
 
 
+def _pairs(text: Column) -> Column:
+    """Array of (chunk, to, body): each line that isn't blank, with the next such line; chunk and to are their numbers."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    full = F.filter(lines, lambda e: e["x"].rlike("\\S"))
+    less = F.greatest(F.size(full) - 1, F.lit(0))
+    body = lambda a, b: F.concat(a["x"], F.repeat(F.lit("\n"), b["i"] - a["i"]), b["x"])
+    return F.zip_with(F.slice(full, 1, less), F.slice(full, 2, less), lambda a, b: F.struct(a["i"].alias("chunk"), b["i"].alias("to"), body(a, b).alias("body")))
+
+
+def repeated_pairs(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(id, hash, chunk, to): every two neighbouring lines that stand earlier, by the numbers of both."""
+    base = docs.select(F.col("doc_id").cast("bigint").alias(ID), F.xxhash64("text").alias(HASH), F.col("text").alias("text")).where("text is not null")
+    pairs = base.select(ID, HASH, F.explode_outer(_pairs(F.col("text"))).alias("c")).where("c is not null")
+    # Hashes nominate; only what they nominate is moved with its lines.
+    pairs = pairs.select(ID, HASH, F.xxhash64("c.body").alias("h"), "c.chunk", "c.to")
+    twice = pairs.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1").select("h")
+    marks = pairs.join(twice, "h", "left_semi").groupBy(F.col(ID).alias("i"), F.col(HASH).alias("h")).agg(F.collect_set(F.struct("chunk", "to")).alias("marks"))
+    both = base.join(marks.hint("shuffle_hash"), F.col(ID).eqNullSafe(F.col("i")) & (F.col(HASH) == F.col("h")), "inner").drop("i", "h")
+    # `lines` is used twice below, so that Spark doesn't inline its making, per element.
+    both = both.withColumn("lines", F.split("text", "\n", -1)).drop("text")
+    body = lambda m: F.concat(F.get("lines", m["chunk"]), F.repeat(F.lit("\n"), m["to"] - m["chunk"]), F.get("lines", m["to"]))
+    near = both.select(ID, HASH, F.transform("marks", lambda m: F.struct(m["chunk"].alias("chunk"), m["to"].alias("to"), body(m).alias("body"))).alias("c"))
+    near = near.select(ID, HASH, F.explode_outer("c").alias("c")).select(ID, HASH, F.struct("c.chunk", "c.to").alias("chunk"), F.md5("c.body").alias("digest"), "c.body")
+    return _later(near, salts).select(ID, HASH, "chunk.chunk", "chunk.to")
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """The same rows and columns, ``text`` without every line of a passage of two lines or more that stands earlier."""
+    gone = repeated_pairs(docs).select(ID, HASH, F.explode(F.sequence("chunk", "to")).alias("line")).groupBy(ID, HASH).agg(F.collect_set("line").alias("gone"))
+    rows = nested(docs)
+    text = F.col(f"{ROW}.text")
+    both = rows.join(gone.hint("shuffle_hash"), same_document(rows, gone), "left").select(rows[ROW], gone["gone"])
+    both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text, "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    return both.withColumn(ROW, F.col(ROW).withField("text", new)).select(f"{ROW}.*")
+
+
 def oracle(docs: str = "documents", key_hash: str = "md5(coalesce(text, ''))", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> str:
     """DuckDB SQL for (doc_id, text) after line_dedup over distinct doc_ids."""
     return f"""
