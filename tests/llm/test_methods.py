@@ -213,6 +213,36 @@ def test_forward_backward():
             assert np.allclose(got[a:z], brute_marginals(score[a:z], trans, start))
 
 
+def test_forward_backward_of_many_labels(monkeypatch):
+    rng = np.random.default_rng(3)
+    k, first = 5, np.array([0, 0, 7, 8, 8, 30, 33])
+    score, trans, start = rng.normal(size=(33, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    want = langid_crf.marginals(score, first, trans, start)
+    monkeypatch.setattr(langid_crf, "BLOCK_LABELS", 4)
+    assert np.allclose(langid_crf.marginals(score, first, trans, start), want)
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(4)
+    letters = {f"l{i:02}": rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for i in range(70)}
+    text = lambda x: " ".join("".join(rng.choice(letters[x]) for _ in range(5)) for _ in range(30))
+    docs = [(i * 10 + k, text(x), x) for i, x in enumerate(letters) for k in range(3 if i < 69 else 2)]
+    rows = langid_crf.training_rows(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert {x for x, _ in rows} == {*letters} and len(rows) == len(docs)
+    model = langid_crf.train(rows, steps=30)
+    best = langid_crf.label_batch(model, pa.array([t for _, t in rows]), 0.25)[0]
+    assert np.mean([model.labels[b] == x for b, (x, _) in zip(best, rows)]) > 0.9
+    assert model.labels[best[-1]] == "l69"
+
+
+def test_training_in_pieces(monkeypatch):
+    rows = [("en", "the and of that with this from"), ("de", "der die das und nicht ist mit")]
+    whole = langid_crf.train(rows, steps=10, sequences=60)
+    monkeypatch.setattr(langid_crf, "PIECE", 200)
+    pieces = langid_crf.train(rows, steps=10, sequences=60)
+    assert np.allclose(whole.emit, pieces.emit, atol=1e-5) and np.allclose(whole.trans, pieces.trans)
+
+
 @pytest.fixture(scope="module")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")

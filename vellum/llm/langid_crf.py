@@ -12,7 +12,8 @@ blocks, then those inside all blocks at once.  That is exact, and a text of a mi
 A document's language is the most frequent label but ``und``.  It is rejected where it has no word of a language, or that
 language's share of all its words is below ``min_share``: numbers and addresses beside a sentence don't condemn it.
 
-Training reads at most ``TRAIN_DOCS`` labelled rows of each of at most ``LANGUAGES`` languages (the most frequent); scoring reads everything.
+Training reads at most ``TRAIN_DOCS`` labelled rows of each language, of however many languages; scoring reads everything.  With many
+languages the sequences to train on grow with them, gradients are summed over pieces, and texts are worked on in smaller slices.
 
 Defined results: null, empty and wordless texts, and those of no language, have none (lang_pred null, share and confidence 0) and are rejected; rows with a
 null language train nothing; ties between labels go to the first in alphabetical order; repeated rows get equal results; without any
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.bytewords import Words, mix, slices, words
 
-UND, BUCKETS, TRAIN_DOCS, LANGUAGES, SEQUENCES, STEPS, MIN_SHARE = "und", 1 << 16, 150, 64, 1500, 60, 0.25
+UND, BUCKETS, TRAIN_DOCS, SEQUENCES, STEPS, MIN_SHARE = "und", 1 << 16, 150, 1500, 60, 0.25
+#: Sequences for each language at least; the most labels for which blocks are worked off; scores (words x labels) held at once in training.
+OF_EACH, BLOCK_LABELS, PIECE = 24, 16, 1 << 22
 
 
 @dataclass
@@ -92,6 +95,8 @@ def messages(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
     n, k = score.shape
     e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
     a, s = np.exp(trans), np.exp(start)
+    if k > BLOCK_LABELS:
+        return *_by_place(e, first, a, s), e
     size = max(1, int(np.sqrt(n)))
     blocks = -(-n // size)
     ep = np.ones((blocks * size, k))
@@ -126,6 +131,21 @@ def messages(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
     return forward.reshape(-1, k)[:n], backward.reshape(-1, k)[:n], e
 
 
+def _by_place(e: np.ndarray, first: np.ndarray, a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same vectors, all texts at once, place by place: a word costs the square of the labels, not the cube as in blocks."""
+    long = np.argsort(-np.diff(first), kind="stable")
+    at, size = first[:-1][long], np.diff(first)[long]
+    forward, backward = np.empty_like(e), np.full_like(e, 1 / e.shape[1])
+    active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # texts with more words than the place
+    for j, m in enumerate(active.tolist()):
+        now = at[:m] + j
+        forward[now] = _unit((forward[now - 1] @ a if j else s) * e[now], 1)
+    for j in range(len(active) - 2, -1, -1):
+        now = at[: active[j + 1]] + j
+        backward[now] = _unit((e[now + 1] * backward[now + 1]) @ a.T, 1)
+    return forward, backward
+
+
 def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     if not len(score):
         return score
@@ -181,7 +201,7 @@ def training_sequences(rows: list[tuple[str, str]], seed: int = 7, sequences: in
 
 def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = STEPS, sequences: int = SEQUENCES) -> Model:
     """Adam on the whole likelihood of the training sequences."""
-    texts, gold, labels = training_sequences(rows, seed, sequences)
+    texts, gold, labels = training_sequences(rows, seed, max(sequences, OF_EACH * len({lang for lang, _ in rows})))
     k = len(labels)
     model = Model(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if not len(gold):
@@ -196,21 +216,30 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = STEPS, sequen
     begins = np.zeros(len(w), dtype=bool)
     begins[w.first[:-1][np.diff(w.first) > 0]] = True
     inner = np.flatnonzero(~begins)
+    cuts = [0]
+    for d, z in enumerate(w.first[1:].tolist(), 1):
+        if (z - w.first[cuts[-1]]) * k > PIECE or d == len(w.first) - 1:
+            cuts.append(d)
     emit = np.zeros((len(used), k))
     params = [emit, model.trans, model.start]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    hit = np.zeros((len(w), k))
-    hit[np.arange(len(w)), gold] = 1
     pair = np.zeros((k, k))
     np.add.at(pair, (gold[inner - 1], gold[inner]), 1)
     for step in range(1, steps + 1):
-        score = np.add.reduceat(emit[compact] * val[:, None], first, axis=0)[inverse]
-        forward, backward, e = messages(score, w.first, model.trans, model.start)
-        marg = _unit(forward * backward, 1)
-        xi = _unit(forward[inner - 1][:, :, None] * np.exp(model.trans) * (e * backward)[inner][:, None, :], (1, 2)).sum(axis=0)
-        diff = hit - marg
-        per_type = np.stack([np.bincount(inverse, diff[:, j], len(at)) for j in range(k)], axis=1)
-        grad = [np.stack([np.bincount(compact, per_type[owner, j] * val, len(used)) for j in range(k)], axis=1), pair - xi, diff[begins].sum(axis=0)]
+        types = np.stack([np.add.reduceat(emit[compact, j] * val, first) for j in range(k)], axis=1)
+        per_type, xi, starts, back = np.zeros((len(at), k)), np.zeros((k, k)), np.zeros(k), np.exp(model.trans)
+        for x, z in zip(cuts, cuts[1:]):
+            lo, hi = w.first[x], w.first[z]
+            forward, backward, e = messages(types[inverse[lo:hi]], w.first[x : z + 1] - lo, model.trans, model.start)
+            diff = -_unit(forward * backward, 1)
+            diff[np.arange(hi - lo), gold[lo:hi]] += 1
+            own = np.flatnonzero(~begins[lo:hi])
+            after = (e * backward)[own]
+            before = forward[own - 1]
+            xi += back * (before.T @ (after / ((before @ back) * after).sum(axis=1, keepdims=True)))
+            per_type += np.stack([np.bincount(inverse[lo:hi], diff[:, j], len(at)) for j in range(k)], axis=1)
+            starts += diff[begins[lo:hi]].sum(axis=0)
+        grad = [np.stack([np.bincount(compact, per_type[owner, j] * val, len(used)) for j in range(k)], axis=1), pair - xi, starts]
         for p, g, a, b in zip(params, grad, m1, m2):
             g = g / len(w) - 1e-6 * p
             a *= 0.9
@@ -222,19 +251,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = STEPS, sequen
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """(language, text) of at most ``per_language`` rows of each language, in order of a hash of their ids."""
     known = docs.where("lang is not null and text is not null and trim(lang) <> ''").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    tops = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not tops:
-        return []
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.where(F.col("lang").isin(tops)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
-    picked = [r["doc_id"] for r in ids.select("doc_id").collect() if r["doc_id"] is not None]
-    rows = known.where(F.col("doc_id").isin(picked)).select("lang", "doc_id", "text").collect() if picked else []
+    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
+    picked = F.broadcast(ids.select("doc_id").where("doc_id is not null").distinct())
+    rows = known.join(picked, "doc_id", "left_semi").select("lang", "doc_id", "text").collect()
     seen, out = {}, []
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if r["lang"] in tops and seen.setdefault(r["lang"], 0) < per_language:
+        if seen.setdefault(r["lang"], 0) < per_language:
             seen[r["lang"]] += 1
             out.append((r["lang"], r["text"]))
     return out
@@ -279,7 +305,7 @@ def identify(docs: DataFrame, model: Model | None = None, min_share: float = MIN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = pa.array(sent.value.labels)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=(1 << 20) * BLOCK_LABELS // max(BLOCK_LABELS, len(sent.value.labels))):
                 best, share, confidence, count, switches, keep, label, first = label_batch(sent.value, b.column("text"), min_share)
                 new = np.ones(len(label), dtype=bool)
                 new[1:] = label[1:] != label[:-1]
@@ -303,7 +329,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=(1 << 20) * BLOCK_LABELS // max(BLOCK_LABELS, len(sent.value.labels))):
                 yield b.filter(pa.array(label_batch(sent.value, b.column("text"), min_share)[5]))
 
     return docs.mapInArrow(run, docs.schema)
