@@ -235,6 +235,17 @@ def test_more_than_64_languages(spark):
     assert model.labels[best[-1]] == "l69"
 
 
+def test_languages_share_a_text():
+    model = langid_crf.Model(["a", "b", "c", "d", "e", "und"], np.zeros((langid_crf.BUCKETS, 6), np.float32), np.zeros((6, 6)), np.zeros(6))
+    data = ["alpha", "bravo", "crisp", "delta", "eagle", "12345"]
+    w = bytewords.words(pa.array(data))
+    feat = [langid_crf.type_features(w.data, w.start[i : i + 1], w.end[i : i + 1], w.hashes()[i : i + 1])[0][0] for i in range(6)]
+    model.emit[feat, range(6)] = 30
+    five, four, junk = " ".join(data[:5]), " ".join(data[:4] + data[5:] * 2), " ".join(data[:1] + data[5:] * 5)
+    best, share, *_, keep, _, _ = langid_crf.label_batch(model, pa.array([five, four, junk]), 0.25)
+    assert keep.tolist() == [True, True, False] and best.tolist() == [0, 0, 0] and np.allclose(share, [1 / 5, 1 / 6, 1 / 6])
+
+
 def test_training_in_pieces(monkeypatch):
     rows = [("en", "the and of that with this from"), ("de", "der die das und nicht ist mit")]
     whole = langid_crf.train(rows, steps=10, sequences=60)

@@ -9,8 +9,8 @@ Words are labelled by their marginals from the forward-backward algorithm, over
 The chain of a batch is worked off in blocks: the product of each block's transfer matrices, then the vectors between
 blocks, then those inside all blocks at once.  That is exact, and a text of a million words costs no more a word than a short one.
 
-A document's language is the most frequent label but ``und``.  It is rejected where it has no word of a language, or that
-language's share of all its words is below ``min_share``: numbers and addresses beside a sentence don't condemn it.
+A document's language is the most frequent label but ``und``.  It is rejected where it has no word of a language, or the share of
+all languages together in its words is below ``min_share``: neither numbers and addresses beside a sentence nor many languages condemn it.
 
 Training reads at most ``TRAIN_DOCS`` labelled rows of each language, of however many languages; scoring reads everything.  With many
 languages the sequences to train on grow with them, gradients are summed over pieces, and texts are worked on in smaller slices.
@@ -290,7 +290,7 @@ def label_batch(model: Model, texts: pa.Array, min_share: float) -> tuple[np.nda
     turn = np.zeros(len(w), dtype=np.int64)
     turn[1:] = (label[1:] != label[:-1]) & (doc[1:] == doc[:-1])
     switches = np.bincount(doc, turn, n).astype(np.int64)
-    keep = ~best_und & (share >= min_share)
+    keep = ~best_und & (1 - votes[:, und] / some >= min_share)
     return np.where(best_und, -1, best), np.where(best_und, 0, share), np.where(best_und, 0, confidence), count, switches, keep, label, w.first
 
 
