@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import hashlib
 import itertools
 import random
 import re
@@ -78,6 +79,26 @@ def test_line_chunks_are_shift_resistant(spark):
     assert all(f"end {i}" in out[i] for i in range(8))
 
 
+def test_line_chunks_of_another_divisor(spark):
+    rng = random.Random(6)
+    passage = [f"line {rng.random()}" for _ in range(40)]
+    docs = [(i, "\n".join([f"own {i}", *passage, f"end {i}"])) for i in range(3)]
+    out = dict(line_chunks.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), divisor=7).collect())
+    assert all(f"own {i}" in out[i] and f"end {i}" in out[i] for i in range(3)) and out[0] == docs[0][1]
+    seen = set()
+    for i, text in docs:
+        kept, chunk, before = [], [], 0
+        for k, line in enumerate(lines := text.split("\n")):
+            h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+            chunk.append(line)
+            if (h * 1000003 + before) % 2147483647 % 7 == 0 or k == len(lines) - 1:
+                kept += [] if len(chunk) > 1 and (*chunk,) in seen else chunk
+                seen.add((*chunk,))
+                chunk = []
+            before = h
+        assert out[i] == "\n".join(kept)
+
+
 def test_repeated_lines_of_all_passages(spark):
     rng = random.Random(9)
     texts = []

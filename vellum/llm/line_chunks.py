@@ -70,10 +70,10 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     gone = repeated_chunks(docs, divisor, min_lines).groupBy(ID, HASH).agg(F.collect_set("chunk").alias("gone"))
     rows = nested(docs)
     both = rows.join(gone.hint("shuffle_hash"), same_document(rows, gone), "left").select(rows[ROW], gone["gone"])
-    return _without(both).select(f"{ROW}.*")
+    return _without(both, divisor).select(f"{ROW}.*")
 
 
-def _without(both: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def _without(both: DataFrame, divisor: int) -> DataFrame:
     text = F.col(f"{ROW}.text")
     parts = _chunked(both, F.when(F.col("gone").isNotNull(), text), divisor)
     kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
