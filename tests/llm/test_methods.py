@@ -169,6 +169,18 @@ def test_longest_matches(spark, seed):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_shards_lose_no_batch(monkeypatch):
+    rows = [pa.RecordBatch.from_pydict({"text": [""], "other": ["x" * (1 << 20)]}) for _ in range(20)]
+    got = list(decontam._sharded(lambda b: iter([b]))(iter(rows)))
+    assert sum(b.num_rows for b in got) == 20 and max(b.nbytes for b in got) <= decontam.SHARD_BYTES + (2 << 20)
+
+    class Apart:  # as Arrow leaves several chunks of a column that passes 2 GB
+        from_batches = staticmethod(lambda held: type("T", (), {"combine_chunks": lambda self: self, "to_batches": lambda self: held})())
+
+    monkeypatch.setattr(decontam.pa, "Table", Apart)
+    assert sum(b.num_rows for b in decontam._sharded(lambda b: iter([b]))(iter(rows))) == 20
+
+
 def test_all_pairs_under_the_distance(spark):
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 1 << 16, (120, hamming_dedup.PLACES)).astype(np.uint16)

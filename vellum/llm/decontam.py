@@ -136,17 +136,22 @@ def item_parts(bench: DataFrame, min_words: int, least_item: int, id_column: str
 
 
 def _sharded(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
+    def each(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # More than one where a column passes what one array can hold.
+        for b in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from fn(b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for whole in batches:
             for b in slices(whole, limit=SHARD_BYTES):
                 held.append(b)
-                size += b.column("text").nbytes
+                size += b.nbytes
                 if size >= SHARD_BYTES:
-                    yield from fn(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    yield from each(held)
                     held, size = [], 0
         if held:
-            yield from fn(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from each(held)
 
     return run
 
