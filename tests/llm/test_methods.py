@@ -385,6 +385,16 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
         assert a == b
 
 
+def test_warc_sources_of_equal_name(spark, tmp_path):
+    paths = []
+    for k in range(2):
+        pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}</p>")], "page_id bigint, url string, html string").coalesce(1)
+        paths += warc.write_monolithic(pages, f"{tmp_path}/{k}")
+    assert len({p.rsplit("/", 1)[-1] for p in paths}) == 1
+    index = warc.normalise(spark, paths, f"{tmp_path}/out").collect()
+    assert sorted(r.page_id for r in index if r.page_id is not None) == [0, 1]
+
+
 def test_warc_shapes(tmp_path):
     one, two = warc.record("response", "1", "u", b"x" * 3_000_000), warc.record("request", "2", "", b"")
     shapes = {"members": gzip.compress(one) + gzip.compress(two), "stream": gzip.compress(one + two), "halves": gzip.compress((one + two)[:1000]) + gzip.compress((one + two)[1000:]), "empty": b"", "unclosed": gzip.compress(one + two[:-4])}

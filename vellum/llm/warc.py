@@ -20,6 +20,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -148,6 +149,13 @@ def read_record(path: str, offset: int, length: int) -> tuple[bytes, bytes]:
     return head, payload
 
 
+def _target_names(sources: list[str]) -> dict[str, str]:
+    """A name for each source: its base name, after a hash of its whole path where others have the same."""
+    base = {p: p.rsplit("/", 1)[-1] for p in sources}
+    count = Counter(base.values())
+    return {p: b if count[b] == 1 else f"{hashlib.sha1(p.encode()).hexdigest()[:16]}-{b}" for p, b in base.items()}
+
+
 def normalise(spark: SparkSession, sources: list[str], target_dir: str, level: int = LEVEL) -> DataFrame:
     """Normalises each file into ``target_dir``; the index of all as a DataFrame.
 
@@ -157,16 +165,17 @@ def normalise(spark: SparkSession, sources: list[str], target_dir: str, level: i
     disk.create_dir(where, recursive=True)
     if not sources:
         return spark.createDataFrame([], INDEX)
+    names = _target_names(sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                n = len(normalise_file(path, f"{target_dir}/{path.rsplit('/', 1)[-1]}", level))
+                n = len(normalise_file(path, f"{target_dir}/{names[path]}", level))
                 yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
     files = spark.createDataFrame([(p,) for p in sources], "path string").repartitionByRange(len(sources), "path")
     files.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
-    return spark.read.schema(INDEX).json([f"{target_dir}/{p.rsplit('/', 1)[-1]}.index.jsonl" for p in sources])
+    return spark.read.schema(INDEX).json([f"{target_dir}/{names[p]}.index.jsonl" for p in sources])
 
 
 def write_monolithic(pages: DataFrame, target_dir: str, level: int = LEVEL) -> list[str]:
