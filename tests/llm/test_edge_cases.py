@@ -112,8 +112,8 @@ def test_quality(spark, odd, none):
 
 def test_packing(odd, none):
     out = packing.pack(odd, capacity=100).collect()
-    assert len(out) == len(rows()) + 599
-    assert sorted(str(r.doc_id) for r in out if r.window_id is None) == ["3", "4", "5", "None"]
+    assert sum(len(r.pieces) for r in out) == len(rows()) + 599 and sum(r.used == 100 for r in out) >= 600
+    assert sorted((str(r.doc_ids[0]), r.pieces[0].text or "") for r in out if r.window_id is None) == [("3", ""), ("4", ""), ("5", "  \n \t"), ("None", "")]
     assert packing.pack(none).count() == 0
     with pytest.raises(ValueError):
         packing.pack(odd, capacity=0)
