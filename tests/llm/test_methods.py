@@ -169,6 +169,36 @@ def test_longest_matches(spark, seed):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abc"), max_size=12), min_size=1, max_size=3), st.sampled_from([1, 3, 1000]))
+@settings(max_examples=150, deadline=None)
+def test_matches_of_few_words(texts, items, pairs):
+    before, decontam.PAIRS = decontam.PAIRS, pairs
+    ready = decontam.Items([*range(len(items))], [" ".join(x) for x in items], 4, 3)
+    got = {(t, k): x for t, k, *x in zip(*(x.tolist() for x in decontam.shard_matches(pa.array([" ".join(x) for x in texts]), ready)))}
+    decontam.PAIRS = before
+    want = {}
+    for (t, a), (k, b) in itertools.product(enumerate(texts), enumerate(items)):
+        need = 4 if len(b) >= 4 else 3 if len(b) == 3 else 99
+        runs = [(-next((n for n in range(99) if a[i + n : i + n + 1] != b[j + n : j + n + 1] or i + n >= len(a)), 0), i, j) for i in range(len(a)) for j in range(len(b))]
+        best = min(runs, default=(0,))
+        if -best[0] >= need:
+            want[t, k] = [-best[0], *best[1:]]
+    assert got == want
+
+
+def test_one_word_a_million_times():
+    items = decontam.Items([1], ["0 " * 5000], 13, 5)
+    assert [x.tolist() for x in decontam.shard_matches(pa.array(["0 " * 1_000_000, "0 1"]), items)] == [[0], [0], [5000], [0], [0]]
+
+
+def test_bytes_decide_over_hashes(monkeypatch):
+    real = bytewords.Words.hashes
+    monkeypatch.setattr(bytewords.Words, "hashes", lambda self: real(self) // np.uint64(1 << 63))  # two hashes for all words
+    texts, items = ["a b c d e f g h", "p q r s t u v w", "x a b c d y"], ["a b c d e f g h"]
+    found = decontam.shard_matches(pa.array(texts), decontam.Items([0], items, 4, 3))
+    assert [x.tolist() for x in found] == [[0, 2], [0, 0], [8, 4], [0, 1], [0, 0]]
+
+
 def test_shards_lose_no_batch(monkeypatch):
     rows = [pa.RecordBatch.from_pydict({"text": [""], "other": ["x" * (1 << 20)]}) for _ in range(20)]
     got = list(decontam._sharded(lambda b: iter([b]))(iter(rows)))
@@ -339,27 +369,37 @@ def test_best_filling(lengths, room):
     assert sum(x * n for x, n in got.items()) == best and all(n <= counts[x] for x, n in got.items())
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_packing_round_trip(spark, rows):
     rng = random.Random(3)
-    docs = [(i, " ".join("w" * (1 + k % 3) for k in range(int(rng.expovariate(1 / 40))))) for i in range(400)]
-    out = packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 64, buckets=7).collect()
-    by_doc, by_window = {}, {}
+    blank = lambda: rng.choice([" ", "\n", "  \t"])
+    texts = [blank() * (i % 3 == 0) + "".join("w" * (1 + k % 3) + "é" * (k % 7 == 0) + blank() for k in range(int(rng.expovariate(1 / 40)))) for i in range(400)]
+    docs = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(7, texts[5]), (7, texts[7]), (8, None), (8, ""), (None, " \n")]
+    out = packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 64, buckets=7, broadcast_rows=rows).collect()
+    got, parts = [], {}
     for r in out:
-        by_doc.setdefault(r.doc_id, []).append(r)
-        if r.window_id is not None:
-            by_window.setdefault(r.window_id, []).append(r)
-    for i, text in docs:
-        parts = sorted(by_doc[i], key=lambda r: r.piece)
-        assert sum(r.length for r in parts) == len(text.split())
-        assert all(r.start == sum(p.length for p in parts[:k]) for k, r in enumerate(parts))
-    assert sorted(by_window) == list(range(len(by_window)))
-    for rows in by_window.values():
-        used = sum(r.length for r in rows)
-        assert used <= 64 and sorted(r.slot for r in rows) == list(range(len(rows))) and {(r.window_used, r.window_slack) for r in rows} == {(used, 64 - used)}
-    total = sum(len(t.split()) for _, t in docs)
-    assert len(by_window) <= total // 64 + 2
+        assert r.doc_ids == [p.doc_id for p in r.pieces]
+        if r.window_id is None:
+            assert len(r.pieces) == 1 and r.pieces[0].length == 0 and r.used is None and r.slack is None
+        else:
+            assert r.used == sum(p.length for p in r.pieces) <= 64 and r.slack == 64 - r.used and all(p.length == len(p.text.split()) > 0 for p in r.pieces)
+        for p in r.pieces:
+            parts.setdefault((p.doc_id, p.text_hash, p.piece), []).append(p)
+    for (i, h, k), same in parts.items():
+        if k == 0:
+            text = "" if same[0].text is not None else None
+            for n in range(len(parts)):
+                if (i, h, n) not in parts:
+                    break
+                assert {p.text for p in parts[i, h, n]} == {parts[i, h, n][0].text} and len(parts[i, h, n]) == len(same) and parts[i, h, n][0].start == 64 * n
+                text = None if text is None else text + parts[i, h, n][0].text
+            got += [(i, text)] * len(same)
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    assert order(got) == order(docs)
+    ids = [r.window_id for r in out if r.window_id is not None]
+    assert len(ids) == len(set(ids)) <= sum(len(t.split()) for _, t in docs if t) // 64 + 2
     # The windows are those of a plain minimum-bin-slack run over the same pieces.
-    left = sorted((r.length for r in out if r.length), reverse=True)
+    left = sorted((p.length for r in out for p in r.pieces if p.length), reverse=True)
     plain = []
     while left:
         top = left.pop(0)
@@ -368,7 +408,7 @@ def test_packing_round_trip(spark):
             for _ in range(n):
                 left.remove(x)
         plain.append(top + sum(x * n for x, n in fill.items()))
-    assert sorted(plain) == sorted(sum(r.length for r in rows) for rows in by_window.values())
+    assert sorted(plain) == sorted(r.used for r in out if r.window_id is not None)
 
 
 def test_warc_round_trip(spark, sf_dir, tmp_path):

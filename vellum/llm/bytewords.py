@@ -8,6 +8,7 @@ loop runs over words or documents.  Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,13 +74,18 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_PI, n + 1)[start])
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans stand in order.  A block of bytes is worked on at a time, as eight bytes are held for each."""
+    out = np.empty(len(start), dtype=np.uint64)
+    a = 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(end, start[a] + block, "right")))
+        low, n = start[a], int(end[z - 1] - start[a])
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data[low : low + n].astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
+        out[a:z] = mix((total[end[a:z] - low] - total[start[a:z] - low]) * powers(_PI, n + 1)[start[a:z] - low])
+        a = z
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +131,15 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return found[at], at
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows, of about ``limit`` bytes of text (one row may exceed it)."""
     if not batch.num_rows:
@@ -135,3 +150,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) ->
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()

@@ -8,6 +8,7 @@ kept inside one struct while an operator works, so no name of theirs can clash w
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,12 +34,13 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.  A local one is made only where the session names none."""
+    """The folder that all executors share.  A local one is made only where the session names none and runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.vellum.shared", where)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -48,6 +50,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate results, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared folder, so a lost executor loses nothing."""
     shared_dir(df.sparkSession)
