@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, hamming_dedup, langid_crf, line_chunks, packing
-from vellum.llm.common import table, work_dir
+from vellum.llm.common import discard, table, work_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated multi-line passages go; a document that has no text left stays, empty."""
-    out = line_chunks.passage_dedup(docs)
+    """Every line of later copies of repeated multi-line passages goes; a document that has no text left stays, empty."""
+    out = line_chunks.line_dedup(docs)
     if "n_chars" not in out.columns:
         return out
     kind = out.schema["n_chars"].dataType
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document gets its window."""
+    """The pieces of every document meet in windows, with their text."""
     return packing.pack(docs)
 
 
@@ -58,7 +58,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents table."""
     base = work_dir(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if last:
+            discard(spark, last)
+        last = f"{base}/{name}"
     return docs

@@ -68,58 +68,89 @@ def test_smaller_neighbours(pairs):
         assert after[i] == min((j for j in range(i + 1, len(v)) if g[j] == g[i] and v[j] < v[i]), default=-1)
 
 
-def test_line_chunks_are_shift_resistant(spark):
-    rng = random.Random(5)
-    passage = [f"line {rng.random()}" for _ in range(40)]
-    docs = [(i, "\n".join([f"own {i} {k}" for k in range(i)] + passage + [f"end {i}"])) for i in range(8)]
-    out = dict(line_chunks.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
-    assert out[0] == docs[0][1]
-    left = [sum(x in out[i].split("\n") for x in passage) for i in range(1, 8)]
-    assert max(left) <= 14 and sum(left) / len(left) < 9  # what the chunks at both ends hold, and one-line chunks
-    assert all(f"end {i}" in out[i] for i in range(8))
-
-
-def test_line_chunks_of_another_divisor(spark):
-    rng = random.Random(6)
-    passage = [f"line {rng.random()}" for _ in range(40)]
-    docs = [(i, "\n".join([f"own {i}", *passage, f"end {i}"])) for i in range(3)]
-    out = dict(line_chunks.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), divisor=7).collect())
-    assert all(f"own {i}" in out[i] and f"end {i}" in out[i] for i in range(3)) and out[0] == docs[0][1]
-    seen = set()
-    for i, text in docs:
-        kept, chunk, before = [], [], 0
-        for k, line in enumerate(lines := text.split("\n")):
-            h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-            chunk.append(line)
-            if (h * 1000003 + before) % 2147483647 % 7 == 0 or k == len(lines) - 1:
-                kept += [] if len(chunk) > 1 and (*chunk,) in seen else chunk
-                seen.add((*chunk,))
-                chunk = []
-            before = h
-        assert out[i] == "\n".join(kept)
-
-
-def test_repeated_lines_of_all_passages(spark):
-    rng = random.Random(9)
-    texts = []
-    for i in range(40):
+def plain_line_dedup(texts, divisor, least):
+    """The same passages, text by text."""
+    seen, out, mask = set(), [], (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def of_bytes(s):
+        return mix(sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(s.encode())) & mask)
+
+    for text in texts:
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if re.search(r"[^ \t\n\v\f\r]", x)]
+        value = [of_bytes(lines[k]) for k in full]
+        chunks, now = [], []
+        for n, k in enumerate(full):
+            now.append(k)
+            if n == len(full) - 1 or mix((value[n] * 0x9E3779B97F4A7C15 + (value[n - 1] if n else 0)) & mask) % divisor == 0:
+                chunks.append(now)
+                now = []
+        size = lambda i, j: sum(map(len, chunks[i : j + 1]))
+        runs = set()
+        for i in range(len(chunks)):
+            runs |= {(i, j) for j in [next((j for j in range(i, len(chunks)) if size(i, j) >= least), None)] if j is not None}
+            runs |= {(j, i) for j in [next((j for j in range(i, -1, -1) if size(j, i) >= least), None)] if j is not None}
+        gone = set()
+        for i, j in sorted(runs):
+            a, b = chunks[i][0], chunks[j][-1]
+            body = "\n".join(lines[a : b + 1])
+            gone |= set(range(a, b + 1)) if body in seen else set()
+            seen.add(body)
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def texts_of_lines(seed, n=40):
+    rng, texts = random.Random(seed), []
+    for i in range(n):
         lines = [f"own {i} {k}" for k in range(rng.randrange(4))]
         for k in range(rng.randrange(3)):
-            a = rng.randrange(20)
-            lines += [f"shared {x}" for x in range(a, a + rng.randrange(1, 5))] + [""] * rng.randrange(3) + [f"between {i} {k}"] * rng.randrange(2)
+            a = rng.randrange(40)
+            lines += [f"shared {x}" for x in range(a, a + rng.randrange(1, 9))] + rng.choice([[], [""], ["", " "]]) + [f"between {i} {k}é"] * rng.randrange(2)
         texts.append("\n".join(lines))
-    seen, want = set(), {}
-    for d, text in enumerate(texts):
-        lines, gone = text.split("\n"), set()
-        full = [k for k, x in enumerate(lines) if x.strip()]
-        for a, b in zip(full, full[1:]):
-            key = (lines[a], b - a, lines[b])
-            gone |= set(range(a, b + 1)) if key in seen else set()
-            seen.add(key)
-        want[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return texts
+
+
+@pytest.mark.parametrize("divisor", range(1, 9))
+@pytest.mark.parametrize("least", range(1, 5))
+def test_passages_of_line_chunks(divisor, least):
+    texts = texts_of_lines(divisor * 10 + least)
+    seen, gone = set(), {}
+    text, value, x, y = line_chunks.passages(pa.array(texts, pa.string()), divisor, least)
+    for t, h, a, b in sorted(zip(text.tolist(), value.tolist(), x.tolist(), y.tolist()), key=lambda r: (r[0], r[2], r[3])):
+        gone.setdefault(t, set()).update(range(a, b + 1) if h in seen else ())
+        seen.add(h)
+    assert ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in enumerate(texts)] == plain_line_dedup(texts, divisor, least)
+
+
+@pytest.mark.parametrize("divisor, least", [(1, 2), (3, 2), (2, 3)])
+def test_line_dedup(spark, divisor, least):
+    texts = texts_of_lines(divisor)
     df = spark.createDataFrame([(d, t, len(t)) for d, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3)
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    got = {r.doc_id: r.text for r in line_chunks.line_dedup(df, divisor, least).collect()}
+    want = dict(enumerate(plain_line_dedup(texts, divisor, least)))
     assert got == want and want != dict(enumerate(texts))
+    if divisor == 1:
+        assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {d: (t, len(t)) for d, t in want.items()}
+
+
+def test_line_hashes_that_deceive(spark, monkeypatch):
+    texts = ["a\nb", "c\nd", "x\na\nb", "c\nd\ny", "e\nf"]
+
+    def one_hash(batches):
+        for b in batches:
+            text, value, x, y = line_chunks.passages(b.column("text"), 1, 2)
+            take = pa.array(text)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("hash").take(take), pa.array(value * 0), pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["id", "hash", "h", "a", "b"])
+
+    monkeypatch.setattr(line_chunks, "_units", lambda divisor, min_lines: one_hash)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    assert dict(line_chunks.line_dedup(df).collect()) == dict(enumerate(["a\nb", "c\nd", "x", "y", "e\nf"]))
 
 
 @pytest.mark.parametrize("seed", [1, 2])

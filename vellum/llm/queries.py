@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
