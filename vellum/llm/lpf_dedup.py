@@ -14,7 +14,8 @@ first occurrence stays.  Documents are ordered by (doc_id, text hash).
    has its own factor, so their union is the whole repeat.  The spans are merged and cut from the text.
 
 Pieces of one anchor with equal bytes go to the suffix array once: every factor of a later one is the
-whole piece.  So a passage with a million copies costs one comparison of bytes for each.
+whole piece.  An anchor that more than ``hot`` pieces hold, such as one in a notice that a third of all documents carry, is split: each
+``min_words`` words around it are a piece of their own, of which the first place is kept, and combined before the shuffle.
 
 Words are runs of letters, digits and non-ASCII characters, compared exactly.  A removed word takes what follows it, up to the next
 word, along.  Defined results: null texts stay null, empty ones empty; rows repeated whole are one document; null ids sort first;
@@ -35,7 +36,8 @@ from vellum.llm.bytewords import Words, slices, windows, words
 from vellum.llm.common import HASH, ID, ROW, cut, keyed_texts, nested, same_document
 from vellum.llm.suffixes import Prefixes, number_words, smaller_neighbours, suffix_array
 
-MIN_WORDS, GRAM, BUFFER_BYTES = 50, 16, 2 << 20
+MIN_WORDS, GRAM, BUFFER_BYTES, HOT = 50, 16, 2 << 20, 20_000
+PIECES = f"anchor bigint, {ID} bigint, {HASH} bigint, start int, body binary"
 
 
 def anchors(w: Words, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,25 +194,85 @@ def _spans(min_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, hash, spans): of each document that repeats a passage, the merged word spans that occurred before, with the first copy's doc_id."""
     if not 0 < gram <= min_words:
         raise ValueError("gram must lie between 1 and min_words")
-    return _spans_in(keyed_texts(docs).where("text is not null"), min_words, gram)
+    return _spans_in(keyed_texts(docs).where("text is not null"), min_words, gram, hot)
 
 
-def _spans_in(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
+def _listed(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, hash, text, found): the texts with the anchors listed for them."""
+    shared = found.groupBy(ID, HASH).agg(F.collect_set(F.struct("anchor", "word")).alias("found"))
+    return texts.join(shared.hint("shuffle_hash"), same_document(texts, shared)).select(texts[ID], texts[HASH], "text", "found")
+
+
+def _spans_in(texts: DataFrame, min_words: int, gram: int, hot: int) -> DataFrame:
     found = texts.select(ID, HASH, "text").mapInArrow(_anchor_rows(min_words, gram), f"{ID} bigint, {HASH} bigint, anchor bigint, word int")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = found.join(twice, "anchor", "left_semi").groupBy(ID, HASH).agg(F.collect_set(F.struct("anchor", "word")).alias("found"))
-    both = texts.join(shared.hint("shuffle_hash"), same_document(texts, shared)).select(texts[ID], texts[HASH], "text", "found")
-    pieces = both.mapInArrow(_piece_rows(min_words, gram), f"anchor bigint, {ID} bigint, {HASH} bigint, start int, body binary")
+    many = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    pieces = _listed(texts, found.join(many.where(F.col("n") <= hot), "anchor", "left_semi")).mapInArrow(_piece_rows(min_words, gram), PIECES)
     met = pieces.repartition("anchor").sortWithinPartitions("anchor", ID, HASH, "start")
     spans = met.mapInArrow(_spans(min_words), f"{ID} bigint, {HASH} bigint, start int, n int, source bigint")
+    boiler = many.where(F.col("n") > hot)
+    if not boiler.isEmpty():
+        spans = spans.unionByName(_hot_spans(texts, found.join(boiler, "anchor", "left_semi"), min_words, gram))
     grouped = spans.groupBy(ID, HASH).agg(F.array_sort(F.collect_set(F.struct("start", "n", "source"))).alias("spans"))
     return grouped.mapInArrow(_merge, f"{ID} bigint, {HASH} bigint, spans array<struct<start:int,n:int,source:bigint>>")
 
 
+def _hot_spans(texts: DataFrame, found: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """The spans of anchors that too many pieces hold for one task: each ``min_words`` words around such an anchor are a piece of their own.
+
+    Pieces that occur once go first; what is left is combined before the shuffle: the first place of each, and whether all bodies are equal.
+    """
+    listed = _listed(texts, found)
+    place = F.struct(ID, HASH, "start")
+    narrow = listed.mapInArrow(_window_rows(min_words, gram, False), f"anchor bigint, {ID} bigint, {HASH} bigint, start int")
+    twice = narrow.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = cut(narrow.join(twice, "anchor", "left_semi"))
+    again = shared.groupBy(ID, HASH).agg(F.collect_set(F.struct("anchor", F.col("start").alias("word"))).alias("found"))
+    bodies = texts.join(again.hint("shuffle_hash"), same_document(texts, again)).select(texts[ID], texts[HASH], "text", "found").mapInArrow(_window_rows(min_words, gram, True), PIECES)
+    first = bodies.groupBy("anchor", "body").agg(F.min(place).alias("first"))
+    kinds = cut(first.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("first").alias("first")))
+    if kinds.where("bodies > 1").isEmpty():
+        later = shared.join(kinds, "anchor")
+    else:  # hashes that deceive
+        later = bodies.join(first, ["anchor", "body"])
+    return later.where(place > F.col("first")).select(ID, HASH, "start", F.lit(min_words).alias("n"), F.col("first")[ID].alias("source")).distinct()
+
+
+def _window_rows(min_words: int, gram: int, listed: bool):
+    """The hash, place and, where they are ``listed`` by their first words, the body of each window; else all windows around the anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                w = words(b.column("text"), lower=False)
+                lists = b.column("found")
+                found = lists.flatten()
+                doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                anchor, word = (found.field(n).to_numpy(zero_copy_only=False) for n in ("anchor", "word"))
+                at = w.first[doc] + word
+                if not listed:
+                    low = np.maximum(at - (min_words - gram), w.first[doc])
+                    high = np.minimum(at, w.first[doc + 1] - min_words)
+                    n = np.maximum(high - low + 1, 0)
+                    at = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    value, where = windows(w.hashes(), w.first, min_words)
+                    anchor = value[np.searchsorted(where, at)].view(np.int64)
+                data = w.data.tobytes()
+                for x in range(0, len(doc), 10000):
+                    s = slice(x, x + 10000)
+                    take = pa.array(doc[s])
+                    cols = [pa.array(anchor[s]), b.column(ID).take(take), b.column(HASH).take(take), pa.array(at[s] - w.first[doc[s]], pa.int32())]
+                    if listed:
+                        cols.append(pa.array([data[i:j] for i, j in zip(w.start[at[s]].tolist(), w.end[at[s] + min_words - 1].tolist())], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["anchor", ID, HASH, "start", "body"][: len(cols)])
+
+    return run
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins spans that touch; the source of a joined span is that of its first part, the least where several start there."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64())]))
@@ -247,24 +309,24 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(ID), b.column(HASH), b.column("spans"), pa.array(texts, pa.string())], names=[ID, HASH, "spans", "text"])
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, hash, spans, text) of the documents that repeat a passage, text without it."""
     # Both joins with the texts shuffle them in the same way, so Spark does it once.
     texts = keyed_texts(docs).where("text is not null")
-    spans = _spans_in(texts, min_words, gram)
+    spans = _spans_in(texts, min_words, gram, hot)
     both = texts.join(spans.hint("shuffle_hash"), same_document(texts, spans)).select(texts[ID], texts[HASH], "text", "spans")
     return both.mapInArrow(_cut_rows, f"{ID} bigint, {HASH} bigint, spans array<struct<start:int,n:int,source:bigint>>, text string")
 
 
-def removed_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def removed_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, source_doc_id, n_spans, removed_words, text) of each document that repeats a passage: the first copy's document for its first span, and the text that stays."""
     total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["n"])
-    return cleaned(docs, min_words, gram).select(F.col(ID).alias("doc_id"), F.get("spans", F.lit(0))["source"].alias("source_doc_id"), F.size("spans").alias("n_spans"), total.alias("removed_words"), "text")
+    return cleaned(docs, min_words, gram, hot).select(F.col(ID).alias("doc_id"), F.get("spans", F.lit(0))["source"].alias("source_doc_id"), F.size("spans").alias("n_spans"), total.alias("removed_words"), "text")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """All rows and columns, ``text`` without later copies."""
-    new = cut(cleaned(docs, min_words, gram).select(ID, HASH, F.col("text").alias("new")).dropDuplicates([ID, HASH]))
+    new = cut(cleaned(docs, min_words, gram, hot).select(ID, HASH, F.col("text").alias("new")).dropDuplicates([ID, HASH]))
     rows = nested(docs)
     both = rows.join(new.hint("shuffle_hash"), same_document(rows, new), "left").select(rows[ROW], "new")
     return both.select(F.col(ROW).withField("text", F.coalesce("new", f"{ROW}.text")).alias(ROW)).select(f"{ROW}.*")
