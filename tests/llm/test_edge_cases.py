@@ -97,6 +97,9 @@ def test_language_id(odd, none):
     assert langid_crf.keep_identified(odd, model).schema.names == odd.schema.names
     assert langid_crf.identify(none).count() == 0
     assert langid_crf.train([]).labels == ["und"]
+    assert langid_crf.training_rows(odd.drop("lang")) == [] and langid_crf.training_rows(none) == []
+    chosen = langid_crf.training_rows(odd, 2)
+    assert {x for x, _ in chosen} == {"en", "de", "fr"} and all(sum(x == y for x, _ in chosen) <= 2 for y, _ in chosen)
     assert langid_crf.keep_identified(odd).count() > 0
 
 
@@ -125,8 +128,9 @@ def test_html(spark):
     pages = spark.createDataFrame(data, schema)
     out = {(r.page_id, r.text, r.n_texts) for r in html_bp.extract(pages, html_bp.train([])).collect()}
     assert {(1, "hello big world", 3), (2, "", 0), (3, "", 0), (None, "a < b & <", 1), (5, "deep", 1), (6, "", 0), (7, "", 0)} <= out
-    docs = spark.createDataFrame([(1, "hello"), (None, None)], "doc_id bigint, text string")
-    assert len(html_bp.labelled_pages(pages, docs)) == 2
+    clash = "source_id int, page int, page_id int, source string, html string, h int"
+    docs = spark.createDataFrame([(1, "hello", 5, 1, 1, "s", "h", 1), (1, "other", 5, 1, 1, "s", "h", 1), (None, None, 1, 1, 1, "s", "h", 1)], f"doc_id bigint, text string, {clash}")
+    assert html_bp.labelled_pages(pages, docs) == [(data[0][2], "hello")]
     assert html_bp.extract(pages.limit(0), html_bp.train([])).count() == 0
 
 

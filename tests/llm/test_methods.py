@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from vellum.llm import bytewords, decontam, hamming_dedup, html_bp, langid_crf, line_chunks, lpf_dedup, packing, quality_fm, suffixes, warc
+from vellum.llm import bytewords, decontam, fingerprint, hamming_dedup, html_bp, langid_crf, line_chunks, lpf_dedup, packing, quality_fm, suffixes, warc
 
 WORD = re.compile("[a-zA-Z0-9\x80-\U0010ffff]+")
 
@@ -43,6 +45,12 @@ def test_words(texts):
     assert len({*itertools.chain(*got)}) == len({*w.hashes().tolist()})
 
 
+def test_hashes_in_blocks():
+    w = bytewords.words(pa.array(["one two three " * 50, "x" * 40, "one é"]))
+    whole = bytewords.span_hashes(w.data, w.start, w.end)
+    assert all((bytewords.span_hashes(w.data, w.start, w.end, n) == whole).all() for n in (1, 7, 64))
+
+
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.integers(1, 20))
 @settings(max_examples=80, deadline=None)
 def test_suffix_array(seq, depth):
@@ -153,11 +161,11 @@ def test_line_hashes_that_deceive(spark, monkeypatch):
     assert dict(line_chunks.line_dedup(df).collect()) == dict(enumerate(["a\nb", "c\nd", "x", "y", "e\nf"]))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_passages(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 10**6), (2, 10**6), (1, 1), (2, 2)])
+def test_repeated_passages(spark, seed, hot):
     texts, least = corpus(seed), 8
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: r["text"] for r in lpf_dedup.removed_repeats(df, least, 3).collect()}
+    got = {r["doc_id"]: r["text"] for r in lpf_dedup.removed_repeats(df, least, 3, hot).collect()}
     seen, want = set(), {}
     for d, text in enumerate(texts):
         at = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -242,6 +250,24 @@ def test_shards_lose_no_batch(monkeypatch):
     assert sum(b.num_rows for b in decontam._sharded(lambda b: iter([b]))(iter(rows))) == 20
 
 
+@pytest.mark.parametrize("digest, few", [(fingerprint.wide_digest, 1000), (fingerprint.wide_digest, 0), (lambda b: bytes([len(b) % 2] * 16), 1000)])
+def test_fingerprints_of_equal_forms(spark, digest, few):
+    forms = ["Stra\u00dfe", "STRASSE", "strasse ", "\ufb01n  de", "fin\tde", "\uff21bc", "abc", "e\u0301t\u00e9", "\u00e9t\u00e9", "e\u0301te", "", " \n", "other", None, None]
+    docs = [(i, t) for i, t in enumerate(forms)] + [(None, "abc"), (12, "other"), (40, "OTHER")]
+    got = sorted((str(r.doc_id), r.keeper_doc_id, r.group_size, r.is_copy) for r in fingerprint.fingerprint_groups(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), digest, few).collect())
+    groups = {}
+    for i, t in docs:
+        if t is not None:
+            key = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+            groups.setdefault(key, []).append(i)
+    want = []
+    for i, t in docs:
+        g = groups[" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())] if t is not None else [i]
+        keeper = min((x for x in g if x is not None), default=None)
+        want.append((str(i), keeper, len(g), i != keeper))
+    assert got == sorted(want) and {len(g) for g in groups.values()} == {1, 2, 3}
+
+
 def test_all_pairs_under_the_distance(spark):
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 1 << 16, (120, hamming_dedup.PLACES)).astype(np.uint16)
@@ -456,6 +482,21 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
         assert a == b
 
 
+def test_warc_of_odd_rows(spark, tmp_path):
+    rows = [(1, "http://a", "<p>x</p>", "f"), (1, "http://a", "<p>x</p>", "f"), (None, None, None, None), (2, "u\r\nv", "", None), (3, None, "é\r\n\r\nWARC/1.0", None), (4, "u", "y" * 3_000_000, "g")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, file string")
+    base = f"{tmp_path}/a"
+    index = warc.normalise(spark, warc.write_monolithic(pages.coalesce(1), f"{base}/whole"), f"{base}/records").collect()
+    got = []
+    for r in index:
+        head, payload = warc.read_record(f"{base}/records/{r.file}", r.offset, r.length)
+        got.append((r.page_id, warc.fields(head)["warc-target-uri"], payload.decode()))
+    order = lambda x: sorted(x, key=str)
+    assert order(got) == order([(i, (u or "").replace("\r", "").replace("\n", ""), h or "") for i, u, h, _ in rows])
+    none = warc.normalise(spark, warc.write_monolithic(pages.limit(0), f"{base}/none"), f"{base}/empty")
+    assert none.count() == 0 and none.columns == [x.split()[0] for x in warc.INDEX.split(", ")]
+
+
 def test_warc_sources_of_equal_name(spark, tmp_path):
     paths = []
     for k in range(2):
@@ -503,6 +544,18 @@ def test_sum_product():
     assert np.allclose(pair[inner], both[inner] / both[inner].sum(axis=(1, 2), keepdims=True))
 
 
+def test_html_of_any_shape_takes_linear_time():
+    for source, nodes in (("</p>" * 100_000, 1), ("<p><div>" + "<b>" * 5_000 + "</p>" * 100_000, 5_003), ("<div " * 100_000, 2), ("<!-- " * 100_000, 1), ("<b>" * 5_000 + "x", 5_002)):
+        began, got = time.perf_counter(), html_bp.Nodes()
+        html_bp.parse(got, 0, source)
+        marginals, _ = html_bp.sum_product(html_bp.tree(got), html_bp.train([]))
+        assert len(got.parent) == len(marginals) == nodes and time.perf_counter() - began < 20
+    for source, texts in (("a<!-- x > b", ["a"]), ("a<script> x > b", ["a"]), ("a<!-- x --> b <!-- c", ["a", "b"]), ("a > b", ["a > b"]), ("a<!-->b", ["a"])):
+        got = html_bp.Nodes()
+        html_bp.parse(got, 0, source)
+        assert [t for t in got.text if t] == texts
+
+
 def test_html_accuracy(spark, sf_dir):
     at = sf_dir.replace("sf0.001", "sf0.01")
     known = html_bp.labelled_pages(spark.read.parquet(f"{at}/pages.parquet"), spark.read.parquet(f"{at}/documents.parquet"))

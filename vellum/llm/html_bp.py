@@ -10,7 +10,7 @@ Labelled pages come from pages whose source document is known: a text counts as
 a stretch of it of ``MATCH`` characters or more; an element where most of its text is content.  Training reads at most ``TRAIN_PAGES`` pages, in
 order of a hash of their ids; extraction reads every page whole.
 
-Defined results: null and empty pages give an empty text and 0 nodes; scripts, styles and comments are never content; tags that aren't
+Defined results: null and empty pages give an empty text and 0 nodes; scripts, styles, templates, noscript elements and comments are never content; tags that aren't
 closed are closed by their parents, end tags without a beginning are skipped, a ``<`` that begins no tag is text; without labelled pages all
 marginals are 1/2 and all text stays; repeated rows get equal results; an empty table gives an empty one; other columns aren't read.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -93,55 +93,64 @@ def parse(nodes: Nodes, page: int, source: str) -> None:
     """Adds the nodes of one page."""
     root = nodes.add(-1, 0, code("#root"), 0, page)
     stack: list[tuple[str, int]] = [("#root", root)]
-    links = 0
+    open_at: dict[str, list[int]] = {}  # places of the open elements of each name in the stack
+    containers = [0]
     at, broken = 0, True
 
     def put(raw: str) -> None:
         nonlocal broken
         text = " ".join(html.unescape(raw).split()) if raw else ""
         if text:
-            nodes.add(stack[-1][1], len(stack), TEXT, 0, page, text, links > 0, broken)
+            nodes.add(stack[-1][1], len(stack), TEXT, 0, page, text, bool(open_at.get("a")), broken)
             broken = False
 
-    def pop() -> None:
-        nonlocal links, broken
-        name, _ = stack.pop()
-        links -= name == "a"
-        broken |= name not in INLINE
+    def close(names: Iterable[str], over: bool) -> None:
+        """Closes the nearest open element of these names; unless ``over``, none beyond the nearest container."""
+        nonlocal broken
+        place = max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+        if not place or not over and place < containers[-1]:
+            return
+        while len(stack) > place:
+            name, _ = stack.pop()
+            open_at[name].pop()
+            if containers[-1] == len(stack):
+                containers.pop()
+            broken |= name not in INLINE
 
-    for m in TOKEN.finditer(source):
+    # After the last ">" no tag can begin; it isn't looked for, as each "<" there would search to the end.
+    stop = source.rfind(">") + 1
+    for m in TOKEN.finditer(source, 0, stop):
         if m.start() > at:
             put(source[at : m.start()])
         at = m.end()
         end, name, attrs = m[2], m[3] or m[5], m[4] or m[6]
         if end:
             end = end.lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == end:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in CONTAINERS and end not in CONTAINERS:
-                    break
+            close((end,), end in CONTAINERS)
         elif name:
             name = name.lower()
             shut = CLOSES.get(name) or (CLOSES["p"] if name in BLOCKS else None)
             if shut:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in shut:
-                        while len(stack) > i:
-                            pop()
-                        break
-                    if stack[i][0] in CONTAINERS:
-                        break
+                close(shut, False)
             broken |= name not in INLINE
             words = "".join(" ".join(x) for x in NAMED.findall(attrs)).lower().strip() if attrs and "=" in attrs else ""
             node = nodes.add(stack[-1][1], len(stack), code(name), code(words) if words else 0, page)
             if name not in VOID and not (attrs or "").endswith("/"):
+                open_at.setdefault(name, []).append(len(stack))
+                if name in CONTAINERS:
+                    containers.append(len(stack))
                 stack.append((name, node))
-                links += name == "a"
-    if at < len(source):
-        put(source[at:])
+        elif at == stop and not _closed(m[0], m[1]):
+            return
+    rest = source[at:]
+    put(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+
+
+def _closed(token: str, raw: str | None) -> bool:
+    """Whether a comment, or an element of raw text, ends; else it hides all that follows."""
+    if raw:
+        return re.search(rf"</{raw}\s*>\Z", token, re.I) is not None
+    return not token.startswith("<!--") or len(token) > 6 and token.endswith("-->")
 
 
 @dataclass
@@ -169,7 +178,10 @@ def tree(nodes: Nodes) -> Tree:
     own = chars.copy()
     for level in reversed(levels[1:]):
         for x in (chars, marks, link):
-            x += np.bincount(parent[level], x[level], n)[:n] if len(level) * 8 > n else _scatter(parent[level], x[level], n)
+            if len(level) * 8 > n:
+                x += np.bincount(parent[level], x[level], n)
+            else:  # levels that are small beside the page cost their own size
+                np.add.at(x, parent[level], x[level])
     up = np.maximum(parent, 0)
     density = (link / np.maximum(chars, 1) * 4).astype(np.int64)
     part = (chars / np.maximum(chars[up], 1) * 4).astype(np.int64)
@@ -179,12 +191,6 @@ def tree(nodes: Nodes) -> Tree:
     return Tree(parent, levels, feature, (mix(tag.astype(np.uint64)) % np.uint64(EDGES)).astype(np.int64))
 
 
-def _scatter(index: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    np.add.at(out, index, value)
-    return out
-
-
 @dataclass
 class Model:
     weight: np.ndarray
@@ -286,14 +292,13 @@ def labelled_pages(pages: DataFrame, documents: DataFrame, most: int = TRAIN_PAG
     picked = known.select("page_id", "source", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id", "source").limit(most)
     ids = [(r["page_id"], r["source"]) for r in picked.collect()]
     chosen = documents.sparkSession.createDataFrame(ids, "page bigint, source_id bigint").distinct()
-    # At most `most` ids, so they may be sent to all tasks.
-    found = known.join(F.broadcast(chosen), (known["page_id"] == chosen["page"]) & (known["source"] == chosen["source_id"])).select("page_id", "source", "html").collect()
-    wanted = chosen.select("source_id").distinct()
-    texts = documents.where("text is not null").join(F.broadcast(wanted), F.col("doc_id") == F.col("source_id")).select("doc_id", "text").collect()
-    by = {}
-    for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"])):
-        by.setdefault(r["doc_id"], r["text"])
-    return [(r["html"], by[r["source"]]) for r in sorted(found, key=lambda r: (r["page_id"], r["source"], r["html"])) if r["source"] in by]
+    # At most `most` ids, so they may be sent to all tasks; an id trains by one page and one text, however often it occurs.
+    met = known.join(F.broadcast(chosen), (known["page_id"] == chosen["page"]) & (known["source"] == chosen["source_id"]))
+    found = met.groupBy("page_id", "source").agg(F.min("html").alias("html")).collect()
+    given = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    wanted = F.broadcast(chosen.select(F.col("source_id").alias("doc_id")).distinct())
+    by = {r["doc_id"]: r["text"] for r in given.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(r["html"], by[r["source"]]) for r in sorted(found, key=lambda r: (r["page_id"], r["source"])) if r["source"] in by]
 
 
 def extract(pages: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

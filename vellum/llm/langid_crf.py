@@ -16,7 +16,7 @@ Training reads at most ``TRAIN_DOCS`` labelled rows of each language, of however
 languages the sequences to train on grow with them, gradients are summed over pieces, and texts are worked on in smaller slices.
 
 Defined results: null, empty and wordless texts, and those of no language, have none (lang_pred null, share and confidence 0) and are rejected; rows with a
-null language train nothing; ties between labels go to the first in alphabetical order; repeated rows get equal results; without any
+null or blank language or a null id train nothing, nor do tables without the column; ties between labels go to the first in alphabetical order; repeated rows get equal results; without any
 labelled row every word is ``und``; an empty table gives an empty one; other columns pass through untouched.
 """
 
@@ -153,11 +153,6 @@ def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np
     return _unit(forward * backward, 1)
 
 
-def _has_digit(w: Words) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum((w.data >= 48) & (w.data < 58))])
-    return total[w.end] > total[w.start]
-
-
 def training_sequences(rows: list[tuple[str, str]], seed: int = 7, sequences: int = SEQUENCES) -> tuple[list[str], np.ndarray, list[str]]:
     """Code-switched texts, the label of each of their words, and the labels.  Spans come from anywhere in the rows' texts."""
     langs = sorted({lang for lang, _ in rows})
@@ -252,18 +247,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = STEPS, sequen
 
 
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(language, text) of at most ``per_language`` rows of each language, in order of a hash of their ids."""
-    known = docs.where("lang is not null and text is not null and trim(lang) <> ''").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
-    picked = F.broadcast(ids.select("doc_id").where("doc_id is not null").distinct())
-    rows = known.join(picked, "doc_id", "left_semi").select("lang", "doc_id", "text").collect()
-    seen, out = {}, []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if seen.setdefault(r["lang"], 0) < per_language:
-            seen[r["lang"]] += 1
-            out.append((r["lang"], r["text"]))
-    return out
+    """(language, text) of at most ``per_language`` different rows of each language, in order of a hash of their ids; none without a column ``lang``."""
+    if "lang" not in docs.columns:
+        return []
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    known = docs.select(lang.alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("t")).where("lang is not null and doc_id is not null and text is not null and trim(lang) <> ''")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    ids = known.select("lang", "doc_id", "t", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
+    # At most per_language rows of each language, so they may be sent to all tasks; rows repeated whole are gathered once.
+    rows = known.join(F.broadcast(ids.select("lang", "doc_id", "t").distinct()), ["lang", "doc_id", "t"], "left_semi").groupBy("lang", "doc_id", "t").agg(F.min("text").alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
 
 
 def label_batch(model: Model, texts: pa.Array, min_share: float) -> tuple[np.ndarray, ...]:

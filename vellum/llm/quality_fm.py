@@ -9,7 +9,8 @@ Training (logistic loss, AdaGrad) reads at most ``TRAIN_DOCS`` labelled rows of
 reads every document whole.
 
 Defined results: null and empty texts are scored by their statistics and metadata; null source or language is a category of its own;
-missing columns likewise; labels that are null or whose document is missing train nothing, contradicting labels of one id train as they are;
+missing columns likewise; labels that are null or whose document is missing train nothing, contradicting labels of one id train as they are, and an id that occurs
+more than once trains by the least of its texts;
 with no labels, or of one class only, every score is that class's prior (0.5 without labels); repeated rows get equal scores; an empty table
 gives an empty one; other columns aren't read.
 """
@@ -148,7 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
     found = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["y"])) for r in picked], "id bigint, y int")
     # At most 2 x per_class ids, so they may be sent to all tasks.
     cols = _columns(docs)
-    rows = cols.join(F.broadcast(found), cols["doc_id"] == found["id"]).select("doc_id", "text", "source", "lang", "y").toPandas().sort_values(["doc_id", "text", "y"], kind="stable")
+    met = cols.join(F.broadcast(found), cols["doc_id"] == found["id"])
+    # An id trains by one row, however often it occurs.
+    one = met.groupBy("doc_id", "y").agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("doc_id", "r.*", "y")
+    rows = one.toPandas().sort_values(["doc_id", "y"], kind="stable")
     as_text = lambda c: pa.array(rows[c].tolist(), pa.string(), from_pandas=True)
     return train(as_text("text"), [as_text("source"), as_text("lang")], rows["y"].to_numpy(dtype=float))
 
