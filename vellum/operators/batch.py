@@ -1,12 +1,16 @@
 """Search of many queries in one job.
 
-Queries are parsed where they lie; each becomes rows of what it needs (terms with weights, patterns, phrases, excluded words) and a condition
-over numbered leaves, kept as an "or of ands" or an "and of ors", whichever is shorter.  One join with the postings serves all queries.
+Queries are parsed once, where they lie; each becomes rows of what it needs (terms with weights, patterns, phrases, excluded words) and a
+condition over numbered leaves, kept as an "or of ands" or an "and of ors", whichever is shorter, or where both are long as a tree.
+
+The wanted terms are found first and counted.  While they are few they are sent to the scans of postings and statistics, and the fewest as a
+list that reaches the files; beyond that both sides are shuffled by term.  One pass over the postings serves all queries.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,13 +20,14 @@ from pyspark.sql import functions as F
 from vellum.config import IndexConfig
 from vellum.operators.index_build import Snapshot
 from vellum.operators.scoring import BM25, Scorer
-from vellum.operators.search import TIE
+from vellum.operators.search import BROADCAST_ROWS, TIE, deleted_places
 from vellum.plans.compile import Compiled, Condition, Leaf, compile_query, wildcard_regex
 from vellum.plans.parser import contains_range, parse
 
-LONGEST = 5000
+#: The most sets of a normal form; a longer condition is kept as a tree.  The most terms that go to the files as a list.
+LONGEST, LISTED = 64, 2000
 NEED = "query_id string, role string, field string, term string, regex boolean, boost double, bit int, idx int, off int, n int, slop int"
-FORMULA = "query_id string, ands boolean, formula array<array<int>>"
+FORMULA = "query_id string, ands boolean, formula array<array<int>>, tree string"
 
 
 def normal_form(c: Condition, number: dict, outer: str) -> list[frozenset[int]] | None:
@@ -81,70 +86,125 @@ def query_rows(query_id: str, c: Compiled) -> tuple[list[tuple], tuple]:
             leaf("load", x)
     ors, ands = normal_form(c.condition, number, "or"), normal_form(c.condition, number, "and")
     if ors is None and ands is None:
-        raise ValueError(f"the condition of query {query_id} is too long for a batch; search it alone")
+        return rows, (query_id, None, None, json.dumps(numbered(c.condition, number)))
     use_and = ors is None or ands is not None and len(ands) < len(ors)
-    return rows, (query_id, use_and, [sorted(s) for s in (ands if use_and else ors)])
+    return rows, (query_id, use_and, [sorted(s) for s in (ands if use_and else ors)], None)
+
+
+def numbered(c: Condition, number: dict):
+    """The condition with its leaves' numbers: a number, true, false, or [kind, parts]."""
+    if c[0] in ("and", "or"):
+        return [c[0], [numbered(x, number) for x in c[1]]]
+    return c[0] == "true" if c[0] in ("true", "false") else number[c]
+
+
+def holds(tree, have: set[int]) -> bool:
+    if isinstance(tree, bool):
+        return tree
+    if isinstance(tree, int):
+        return tree in have
+    return (all if tree[0] == "and" else any)(holds(x, have) for x in tree[1])
+
+
+def _with_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose tree holds."""
+    known: dict[str, object] = {}
+    for b in batches:
+        keep = []
+        for text, have in zip(b.column("tree").to_pylist(), b.column("have").to_pylist()):
+            if text not in known:
+                known.clear() if len(known) > 1000 else None
+                known[text] = json.loads(text)
+            keep.append(holds(known[text], set(have)))
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def parsed(queries: DataFrame, fields: list[str], config: IndexConfig) -> DataFrame:
-    """(query_id, ands, formula, needs) of each query that can be searched; blank ones and ranges can't, and find nothing."""
+    """(query_id, ands, formula, tree, needs) of each query that can be searched; blank ones and ranges can't, and find nothing."""
     need_type = "array<struct<" + ",".join(f"{n}:{t}" for n, t in (x.split() for x in NEED.split(", "))) + ">>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(n, {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}[t]) for n, t in (x.split() for x in NEED.split(", "))]))
         names = [x.split()[0] for x in NEED.split(", ")]
         for b in batches:
-            ids, ands, formulas, needs = [], [], [], []
+            ids, ands, formulas, trees, needs = [], [], [], [], []
             for q, text in zip(b.column("query_id").to_pylist(), b.column("text").to_pylist()):
                 node = parse(text or "")
                 if contains_range(node):
                     continue
-                rows, (_, use_and, formula) = query_rows(q, compile_query(node, fields, config))
+                rows, (_, use_and, formula, tree) = query_rows(q, compile_query(node, fields, config))
                 ids.append(q)
                 ands.append(use_and)
                 formulas.append(formula)
+                trees.append(tree)
                 needs.append([dict(zip(names, r)) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ands, pa.bool_()), pa.array(formulas, pa.list_(pa.list_(pa.int32()))), pa.array(needs, kind)], names=["query_id", "ands", "formula", "needs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ands, pa.bool_()), pa.array(formulas, pa.list_(pa.list_(pa.int32()))), pa.array(trees, pa.string()), pa.array(needs, kind)], names=["query_id", "ands", "formula", "tree", "needs"])
 
     texts = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"{FORMULA}, needs {need_type}")
 
 
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
+
 def search_many(snap: Snapshot, queries: DataFrame, config: IndexConfig, top_k: int = 10, scorer: Scorer | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, segment_id, score) of the best hits of each query (query_id, text)."""
+    """(query_id, rank, doc_id, segment_id, score) of the best hits of each query (query_id, text).
+
+    The parsed queries are kept while the session has room for them, as several steps need them.
+    """
     scorer = scorer or BM25()
-    plans = parsed(queries, snap.fields, config)
+    plans = parsed(queries, snap.fields, config).persist()
     need = plans.select(F.explode("needs").alias("n")).select("n.*")
-    dictionary = snap.term_stats.select("field", "term").distinct()
+    seen = need.agg(F.count("*").alias("rows"), F.count_if("regex").alias("wild"), F.count_if(F.col("role") == "phrase").alias("phrase"), F.count_if(F.col("role") == "active").alias("active")).first()
     every = F.array(*[F.lit(f) for f in snap.fields]) if snap.fields else F.array().cast("array<string>")
-    exact = need.where("not regex and role <> 'active'").withColumn("field", F.explode(F.when(F.col("field").isNull(), every).otherwise(F.array("field"))))
-    wild = need.where("regex").alias("w").join(dictionary.alias("d"), F.expr("(w.field is null or w.field = d.field) and d.term rlike w.term")).select("w.query_id", "w.role", "d.field", "d.term", "w.regex", "w.boost", "w.bit", "w.idx", "w.off", "w.n", "w.slop")
-    rows = exact.unionByName(wild)
+    rows = need.where("not regex and role <> 'active'").withColumn("field", F.explode(F.when(F.col("field").isNull(), every).otherwise(F.array("field"))))
+    count = seen["rows"] * max(1, len(snap.fields))
+    if seen["wild"]:
+        # Each different pattern meets each term of the dictionary once.
+        patterns = need.where("regex").select(F.col("field").alias("of"), F.col("term").alias("pattern")).distinct()
+        dictionary = snap.term_stats.select("field", "term").distinct()
+        fits = dictionary.join(_few(patterns, seen["wild"]), F.expr("(of is null or of = field) and term rlike pattern"))
+        wild = need.where("regex").withColumnsRenamed({"field": "of", "term": "pattern"}).alias("w").join(fits.alias("f"), F.expr("w.of <=> f.of and w.pattern = f.pattern"))
+        rows = rows.unionByName(wild.select("w.query_id", "w.role", "f.field", "f.term", "w.regex", "w.boost", "w.bit", "w.idx", "w.off", "w.n", "w.slop")).persist()
+        count = rows.count()
     bits = F.array_distinct(F.collect_list(F.when(F.col("role") == "bit", F.col("bit"))))
     wanted = rows.where("role <> 'phrase'").groupBy("query_id", "field", "term").agg(F.sum("boost").alias("weight"), bits.alias("bits"), F.max(F.col("role") == "not").alias("x"), F.max(F.col("role") == "load").alias("load"))
+    words = rows.select("field", "term").distinct()
+    post, stats = snap.postings, snap.term_stats
+    listed = [r["term"] for r in rows.select("term").distinct().limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        post, stats = post.where(F.col("term").isin(listed)), stats.where(F.col("term").isin(listed))
+    post = post.join(_few(words, count), ["field", "term"], "left_semi")
+    stats = stats.join(_few(words, count), ["field", "term"], "left_semi")
     dims = snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord").join(snap.field_stats.select("segment_id", "field", "avg_length"), "segment_id")
-    post = snap.postings.join(snap.term_stats, ["segment_id", "field", "term"])
-    hits = post.join(wanted, ["field", "term"]).join(F.broadcast(dims) if len(snap.fields) < 1000 else dims, ["segment_id", "field"])
+    # What a posting's contribution needs beside the posting is joined term by term first.
+    known = stats.join(_few(dims, snap.segments * len(snap.fields) if snap.segments else None), ["segment_id", "field"])
+    hits = post.join(known, ["segment_id", "field", "term"]).join(_few(wanted, count), ["field", "term"])
     of_field = F.lit(1.0)
     for name, boost in config.boost.items():
         of_field = F.when(F.col("field") == name, F.lit(float(boost))).otherwise(of_field)
     part: Column = scorer.contribution(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("avg_length")) * of_field * F.col("weight")
     key = ["query_id", "segment_id", "doc_ord"]
     scored = hits.select(*key, part.alias("part"), "bits", "x")
-    phrase = rows.where("role = 'phrase'").select("query_id", "field", "term", "bit", "idx", "off", "n", "slop")
-    found = snap.postings.join(phrase, ["field", "term"]).groupBy(*key, "bit", "field", "n", "slop").agg(F.array_sort(F.collect_list(F.struct("idx", "off", "positions"))).alias("w")).where("size(w) = n")
-    head, rest = F.get("w", F.lit(0)), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
-    fits = F.exists(head["positions"], lambda s: F.forall(rest, lambda r: F.exists(r["positions"], lambda p: F.abs(p - (s + r["off"] - head["off"])) <= F.col("slop"))))
-    placed = found.where(fits).select(*key, F.lit(0.0).alias("part"), F.array("bit").alias("bits"), F.lit(False).alias("x"))
-    total = scored.unionByName(placed).groupBy(*key).agg(F.sum("part").alias("score"), F.array_distinct(F.flatten(F.collect_list("bits"))).alias("bits"), F.max("x").alias("x")).where("score > 0 and not x")
-    active = hits.where("load").select("query_id", "segment_id", "field").distinct().join(need.where("role = 'active'").select("query_id", "field", "bit"), ["query_id", "field"]).groupBy("query_id", "segment_id").agg(F.collect_set("bit").alias("more"))
-    total = total.join(active, ["query_id", "segment_id"], "left").join(plans.select("query_id", "ands", "formula"), "query_id")
-    have = F.concat("bits", F.coalesce("more", F.array().cast("array<int>")))
-    holds = F.when(F.col("ands"), F.forall("formula", lambda s: F.exists(s, lambda b: F.array_contains(F.col("have"), b)))).otherwise(F.exists("formula", lambda s: F.forall(s, lambda b: F.array_contains(F.col("have"), b))))
-    kept = total.withColumn("have", have).where(holds).select(*key, "score")
+    if seen["phrase"]:
+        phrase = rows.where("role = 'phrase'").select("query_id", "field", "term", "bit", "idx", "off", "n", "slop")
+        found = post.join(_few(phrase, count), ["field", "term"]).groupBy(*key, "bit", "field", "n", "slop").agg(F.array_sort(F.collect_list(F.struct("idx", "off", "positions"))).alias("w")).where("size(w) = n")
+        head, rest = F.get("w", F.lit(0)), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
+        fits = F.exists(head["positions"], lambda s: F.forall(rest, lambda r: F.exists(r["positions"], lambda p: F.abs(p - (s + r["off"] - head["off"])) <= F.col("slop"))))
+        scored = scored.unionByName(found.where(fits).select(*key, F.lit(0.0).alias("part"), F.array("bit").alias("bits"), F.lit(False).alias("x")))
+    total = scored.groupBy(*key).agg(F.sum("part").alias("score"), F.array_distinct(F.flatten(F.collect_list("bits"))).alias("have"), F.max("x").alias("x")).where("score > 0 and not x")
+    if seen["active"]:
+        active = hits.where("load").select("query_id", "segment_id", "field").distinct().join(need.where("role = 'active'").select("query_id", "field", "bit"), ["query_id", "field"]).groupBy("query_id", "segment_id").agg(F.collect_set("bit").alias("more"))
+        total = total.join(active, ["query_id", "segment_id"], "left").withColumn("have", F.concat("have", F.coalesce("more", F.array().cast("array<int>")))).drop("more")
+    total = total.join(_few(plans.select("query_id", "ands", "formula", "tree"), seen["rows"]), "query_id")
+    true = F.when(F.col("ands"), F.forall("formula", lambda s: F.exists(s, lambda b: F.array_contains(F.col("have"), b)))).otherwise(F.exists("formula", lambda s: F.forall(s, lambda b: F.array_contains(F.col("have"), b))))
+    kept = total.where("tree is null").where(true).select(*key, "score")
+    if not plans.where("tree is not null").isEmpty():
+        long = total.where("tree is not null").select(*key, "score", "have", "tree")
+        kept = kept.unionByName(long.mapInArrow(_with_trees, long.schema).select(*key, "score"))
     if snap.tombstones is not None:
-        gone = snap.docs.join(snap.tombstones.select("doc_id").distinct(), "doc_id", "left_semi").select("segment_id", "doc_ord")
-        kept = kept.join(gone, ["segment_id", "doc_ord"], "left_anti")
+        kept = kept.join(deleted_places(snap), ["segment_id", "doc_ord"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE)), "seg_ord", "doc_ord")
-    ranked = kept.join(snap.meta.select("segment_id", "seg_ord"), "segment_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    ranked = kept.join(_few(snap.meta.select("segment_id", "seg_ord"), snap.segments), "segment_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     return ranked.join(snap.docs.select("segment_id", "doc_ord", "doc_id"), ["segment_id", "doc_ord"]).select("query_id", "rank", "doc_id", "segment_id", "score")

@@ -32,6 +32,8 @@ class Snapshot:
     meta: DataFrame
     tombstones: DataFrame | None
     fields: list[str]
+    deleted: int | None = None  # how many tombstones and segments there are, where that is known
+    segments: int | None = None
 
     def persist(self) -> Snapshot:
         """Keeps what every search reads; ``unpersist`` lets it go."""
@@ -51,8 +53,7 @@ def with_ids(docs: DataFrame, segment: Column, ordinal: Column) -> DataFrame:
 def stored(docs: DataFrame, config: IndexConfig) -> DataFrame:
     """(segment_id, doc_ord, doc_id, doc): fields that are stored; ``id`` always is."""
     keep = [c for c in docs.columns if c not in ("segment_id", "doc_ord", "doc_id", "id") and c not in config.no_store]
-    given = F.coalesce(F.col("id").cast("string"), F.col("doc_id")) if "id" in docs.columns else F.col("doc_id")
-    return docs.select("segment_id", "doc_ord", "doc_id", F.struct(given.alias("id"), *[F.col(c) for c in keep]).alias("doc"))
+    return docs.select("segment_id", "doc_ord", "doc_id", F.struct(F.col("doc_id").alias("id"), *[F.col(c) for c in keep]).alias("doc"))
 
 
 def tokens(docs: DataFrame, config: IndexConfig) -> DataFrame:
@@ -99,6 +100,12 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("segment_id", "field", "term").agg(F.count("*").alias("df"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores at least: a small table of one file is one task, however long it takes."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def segment_meta(docs: DataFrame) -> DataFrame:
     return docs.groupBy("segment_id").agg(F.count("*").alias("doc_count"), F.min("doc_ord").alias("seg_ord"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import MergePolicy
 from vellum.operators.index_build import field_stats, term_stats
+from vellum.operators.writer import by_segment, counts_in
 from vellum.sources.store import PathStore, now
 
 
@@ -60,10 +61,12 @@ class SegmentMerger:
         if n:
             docs = snap.docs.where(within).join(moved, ["segment_id", "doc_ord"]).select(F.lit(new_id).alias("segment_id"), F.col("new_ord").alias("doc_ord"), "doc_id", "doc")
             store.write(docs, "docs", commit)
-            store.write(merged_postings(snap.postings.where(within), moved, new_id), "postings", commit)
+            # Terms that belong together meet; there is one new segment.
+            merged = merged_postings(snap.postings.where(within), moved, new_id)
+            store.write(by_segment(merged, counts_in(n, None)), "postings", commit)
             post = spark.read.parquet(store.table_path("postings", commit))
             if post.columns:
-                store.write(term_stats(post), "term_stats", commit)
+                store.write(by_segment(term_stats(post), counts_in(n, None)), "term_stats", commit)
                 store.write(field_stats(post.select("segment_id", "field", "doc_ord", "length").distinct()), "field_stats", commit)
                 fields = sorted(r["field"] for r in spark.read.parquet(store.table_path("field_stats", commit)).select("field").collect())
         deleted = 0

@@ -20,6 +20,8 @@ from vellum.plans.parser import parse
 
 
 TIE = 6
+#: Rows up to which a side of a join is sent to all tasks.
+BROADCAST_ROWS = 200_000
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -116,8 +118,14 @@ def without_deleted(found: DataFrame, snap: Snapshot) -> DataFrame:
     """Documents whose id any segment's tombstones name are no hits, in whatever segment they stand."""
     if snap.tombstones is None:
         return found
-    gone = snap.docs.join(snap.tombstones.select("doc_id").distinct(), "doc_id", "left_semi").select("segment_id", "doc_ord")
-    return found.join(gone, ["segment_id", "doc_ord"], "left_anti")
+    return found.join(deleted_places(snap), ["segment_id", "doc_ord"], "left_anti")
+
+
+def deleted_places(snap: Snapshot) -> DataFrame:
+    """(segment_id, doc_ord) of the documents that tombstones name; only their ids are read, and while tombstones are few no document moves."""
+    named = snap.tombstones.select("doc_id").distinct()
+    few = F.broadcast(named) if snap.deleted is not None and snap.deleted <= BROADCAST_ROWS else named
+    return snap.docs.select("segment_id", "doc_ord", "doc_id").join(few, "doc_id", "left_semi").select("segment_id", "doc_ord")
 
 
 def top(found: DataFrame, limit: int | None) -> DataFrame:
@@ -135,4 +143,6 @@ def search(snap: Snapshot, query: str | Node, config: IndexConfig, top_k: int |
         kept = snap.docs.select(*key, "doc.*").where(filter).select(*key)
         found = found.join(kept, key, "left_semi")
     best = top(found, top_k)
-    return top(best.join(snap.docs, key), None).select("doc", "score", "doc_id", "segment_id")
+    # The best are at most top_k; sent to all tasks, they leave out the folders of segments without one of them.
+    best = F.broadcast(best) if top_k is not None and top_k <= BROADCAST_ROWS else best
+    return top(snap.docs.join(best, key), None).select("doc", "score", "doc_id", "segment_id")

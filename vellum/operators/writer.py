@@ -21,8 +21,8 @@ class SegmentInfo:
     deleted_count: int
 
 
-def number_rows(docs: DataFrame, order_by: list[str] | None, path: str) -> DataFrame:
-    """Rows with a dense ``_n`` from 0, in order of the given columns or else in the order of the input's partitions.
+def number_rows(docs: DataFrame, order_by: list[str] | None, path: str) -> tuple[DataFrame, int]:
+    """Rows with a dense ``_n`` from 0, in order of the given columns or else in the order of the input's partitions, and how many there are.
 
     The rows are written once, each partition numbers its own, and the partitions' sizes (one row each) give the offsets; no task sees all rows.
     """
@@ -37,7 +37,18 @@ def number_rows(docs: DataFrame, order_by: list[str] | None, path: str) -> DataF
         offsets.append((p, total))
         total += n
     table = docs.sparkSession.createDataFrame(offsets, "_p bigint, _o bigint")
-    return kept.withColumn("_p", part).join(table, "_p").withColumn("_n", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o")
+    # One row for each partition of the input.
+    return kept.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn("_n", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o"), total
+
+
+def counts_in(n: int, threshold: int | None) -> int:
+    """Parts into which the terms of one segment are divided: one for each 50 000 documents begun."""
+    return max(1, -(-min(n, threshold or n) // 50_000))
+
+
+def by_segment(stats: DataFrame, parts: int) -> DataFrame:
+    """The rows of a segment together, in so many parts; a task then writes to few segments."""
+    return stats.repartition("segment_id", F.pmod(F.hash("term"), F.lit(parts)))
 
 
 class IndexWriter:
@@ -66,8 +77,8 @@ class IndexWriter:
         self._open()
         self._deleted.append(str(doc_id))
 
-    def commit(self) -> SegmentInfo:
-        """Writes what is buffered and publishes it; nothing buffered changes nothing.  Returns the last segment."""
+    def commit(self, batch: int | None = None) -> SegmentInfo:
+        """Writes what is buffered and publishes it, with the number of a stream's batch; nothing buffered changes nothing.  Returns the last segment."""
         self._open()
         if not self._pending and not self._deleted:
             return SegmentInfo("", 0, 0)
@@ -77,9 +88,8 @@ class IndexWriter:
             docs = self._pending[0]
             for d in self._pending[1:]:
                 docs = docs.unionByName(d, allowMissingColumns=True)
-            numbered = number_rows(docs, self.order_by, self.store.table_path("staged", commit))
+            numbered, n = number_rows(docs, self.order_by, self.store.table_path("staged", commit))
             step = F.floor(F.col("_n") / self.threshold) if self.threshold else F.lit(0)
-            n = numbered.count()
             ids = self.store.next_ids(-(-n // self.threshold) if self.threshold else min(n, 1))
             first = int(ids[0].split("-")[1]) if ids else 0
             name = F.format_string("seg-%06d", step.cast("bigint") + first)
@@ -91,7 +101,7 @@ class IndexWriter:
             post = spark.read.parquet(self.store.table_path("postings", commit)) if n else None
             if post is not None and post.columns:
                 lengths = post.select("segment_id", "field", "doc_ord", "length").distinct()
-                self.store.write(term_stats(post), "term_stats", commit)
+                self.store.write(by_segment(term_stats(post), counts_in(n, self.threshold)), "term_stats", commit)
                 self.store.write(field_stats(lengths), "field_stats", commit)
                 for r in spark.read.parquet(self.store.table_path("field_stats", commit)).select("segment_id", "field").collect():
                     fields.setdefault(str(r["segment_id"]), []).append(r["field"])
@@ -104,7 +114,7 @@ class IndexWriter:
             self.store.write(gone, "tombstones", commit)
         stamp = now()
         entries += [{"id": i, "commit": commit, "doc_count": counts[i], "deleted": len(self._deleted) if i == ids[-1] else 0, "fields": sorted(fields.get(i, [])), "created_at": stamp} for i in ids]
-        self.store.publish(entries)
+        self.store.publish(entries, batch)
         info = SegmentInfo(ids[-1], counts[ids[-1]], len(self._deleted))
         self._pending, self._deleted = [], []
         files.delete(self.store.table_path("staged", commit))

@@ -18,7 +18,7 @@ from vellum.functions.hashing import bucket_for, num_buckets_for
 from vellum.functions.render import render
 from vellum.operators.batch import search_many
 from vellum.operators.evaluate import average_precision, evaluate, ndcg, recall, reciprocal_rank
-from vellum.operators.index_build import Snapshot, field_lengths, field_stats, postings, snapshot, stored, term_stats, tokens, with_ids
+from vellum.operators.index_build import Snapshot, field_lengths, field_stats, postings, snapshot, spread, stored, term_stats, tokens, with_ids
 from vellum.operators.merge import mapping, merged_postings
 from vellum.operators.search import matches, search
 
@@ -36,7 +36,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     fields = d.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "lang", "source", "n_chars", F.col("doc_id").alias("_o"))
     return with_ids(fields, F.floor(F.col("_o") / SEGMENT), F.col("_o")).drop("_o")
 

@@ -6,9 +6,9 @@ whole commits only.
 
 from __future__ import annotations
 
-import os
-import shutil
+import re
 import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +38,14 @@ class PathStore:
         where = f"{self.path}/segments.json"
         return files.read_json(where)["segments"] if files.exists(where) else []
 
-    def publish(self, entries: list[dict]) -> None:
-        files.write_json(f"{self.path}/segments.json", {"segments": entries})
+    def batch(self) -> int:
+        """The last stream batch that is part of the index; -1 before the first."""
+        where = f"{self.path}/segments.json"
+        return files.read_json(where).get("batch", -1) if files.exists(where) else -1
+
+    def publish(self, entries: list[dict], batch: int | None = None) -> None:
+        """Replaces the manifest; a stream's batch number is published with its segments, or stays as it was."""
+        files.write_json(f"{self.path}/segments.json", {"segments": entries, "batch": self.batch() if batch is None else batch})
 
     def next_ids(self, n: int) -> list[str]:
         last = max((int(e["id"].split("-")[1]) for e in self.manifest()), default=0)
@@ -49,9 +55,12 @@ class PathStore:
         return f"{self.path}/{commit}/{name}"
 
     def write(self, df: DataFrame, name: str, commit: str) -> None:
-        """One folder for each segment.  Postings are laid out by (field, term), so that a term's row groups are few."""
+        """One folder for each segment.  Postings are laid out by (field, term) in each file, so that a term's row groups are few.
+
+        Nothing is shuffled: documents come in the order of their segments, so a task writes to few of them.
+        """
         if name in ("postings", "term_stats"):
-            df = df.repartitionByRange("segment_id", "field", "term").sortWithinPartitions("segment_id", "field", "term")
+            df = df.sortWithinPartitions("segment_id", "field", "term")
         df.write.mode("overwrite").partitionBy("segment_id").parquet(self.table_path(name, commit))
 
     def _read(self, name: str, entries: list[dict]) -> DataFrame | None:
@@ -92,7 +101,7 @@ class PathStore:
         dead = [e for e in entries if e["deleted"]]
         gone = self._read("tombstones", dead) if dead else None
         fields = sorted({f for e in entries for f in e["fields"]})
-        return Snapshot(docs, get("postings"), get("term_stats"), get("field_stats"), meta, gone, fields)
+        return Snapshot(docs, get("postings"), get("term_stats"), get("field_stats"), meta, gone, fields, sum(e["deleted"] for e in entries), len(entries))
 
     def refresh(self) -> None:
         """Forgets what Spark remembers of the files."""
@@ -100,21 +109,19 @@ class PathStore:
 
 
 class MemoryStore(PathStore):
-    """A store for tests and notebooks, in a folder that ``close`` removes; on a cluster it lies in the session's shared folder."""
+    """A store for tests and notebooks, in a folder of its own that ``close`` removes; on a cluster it lies in the session's shared folder."""
 
     def __init__(self, spark: SparkSession) -> None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        self._own = None if shared else tempfile.mkdtemp(prefix="vellum-index-")
-        super().__init__(spark, os.path.join(shared, f"vellum-index-{id(self):x}") if shared else self._own)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give the index a path")
+        super().__init__(spark, f"{shared.rstrip('/')}/vellum-index-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="vellum-index-"))
 
     def dump(self) -> dict[str, list[str]]:
         return {e["id"]: files.names(f"{self.path}/{e['commit']}") for e in self.manifest()}
 
     def close(self) -> None:
-        if self._own:
-            shutil.rmtree(self._own, ignore_errors=True)
-        else:
-            files.delete(self.path)
+        files.delete(self.path)
 
 
 def now() -> str:

@@ -7,23 +7,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vellum.config import IndexConfig
 from vellum.operators.writer import IndexWriter
-from vellum.sources import files
 from vellum.sources.store import PathStore
 
 
 def index_stream(stream: DataFrame, store: PathStore, config: IndexConfig | None = None, checkpoint: str | None = None, commit_threshold: int | None = None, **trigger) -> StreamingQuery:
-    """Commits every micro-batch as new segments.  A batch that is run again after a failure isn't committed twice: the last
-    batch number is kept beside the manifest."""
-    mark = f"{store.path}/last-batch.json"
+    """Commits every micro-batch as new segments.  A batch that is run again after a failure isn't committed twice: its number is published
+    in the same manifest as its segments."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        if files.exists(mark) and files.read_json(mark)["batch"] >= batch_id:
-            return
-        if not batch.isEmpty():
+        if store.batch() < batch_id and not batch.isEmpty():
             writer = IndexWriter(store, config, commit_threshold)
             writer.add_documents(batch)
-            writer.close()
-        files.write_json(mark, {"batch": batch_id})
+            writer.commit(batch_id)
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint or f"{store.path}/stream-checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
