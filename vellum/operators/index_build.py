@@ -85,15 +85,16 @@ def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
         return docs.sparkSession.createDataFrame([], schema)
     per_field = [F.struct(F.lit(c).alias("field"), config.analyzer(c).column(render(F.col(c), docs.schema[c].dataType)).alias("tokens")) for c in names]
     each = docs.select("segment_id", "doc_ord", F.explode(F.array(*per_field)).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens")
-    # Sorted by (term, position), tokens of one term stand together: each run is one posting.
+    # Sorted by (term, position), tokens of one term stand together: each run is one posting.  Postings are made before the array is
+    # exploded, so that no row carries the tokens of its document along.
     each = each.withColumn("tokens", F.array_sort("tokens")).withColumn("length", F.size("tokens"))
-    last = F.col("length") - 1
-    at = F.when(F.col("length") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    at = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array().cast("array<int>"))
     each = each.withColumn("heads", F.filter(at, lambda i: (i == 0) | (F.get("tokens", i)["term"] != F.get("tokens", i - 1)["term"])))
-    each = each.withColumn("ends", F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array("length")))
-    each = each.select("segment_id", "doc_ord", "field", "length", "tokens", F.posexplode_outer(F.arrays_zip("heads", "ends")).alias("n", "r")).where("length > 0 and r.heads is not null")
-    run = F.slice("tokens", F.col("r.heads") + 1, F.col("r.ends") - F.col("r.heads"))
-    return each.select("segment_id", "field", F.get("tokens", F.col("r.heads"))["term"].alias("term"), "doc_ord", (F.col("r.ends") - F.col("r.heads")).alias("tf"), F.transform(run, lambda t: t["position"]).alias("positions"), "length")
+    ends = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array("length"))
+    places = lambda a, z: F.transform(F.slice("tokens", a + 1, z - a), lambda t: t["position"])
+    made = F.zip_with("heads", ends, lambda a, z: F.when(a.isNotNull(), F.struct(F.get("tokens", a)["term"].alias("term"), (z - a).alias("tf"), places(a, z).alias("positions"))))
+    each = each.select("segment_id", "doc_ord", "field", "length", F.explode_outer(made).alias("p")).where("p is not null")
+    return each.select("segment_id", "field", "p.term", "doc_ord", "p.tf", "p.positions", "length")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
