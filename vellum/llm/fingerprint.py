@@ -6,51 +6,62 @@ digest collision never makes two documents equal.
 
 Defined results: a null text has no fingerprint and is never a copy (keeper is itself, group size 1); empty and
 blank texts are equal to each other; rows that repeat an id are separate members of their group, each counted; the keeper is the
-lowest doc_id of the group, null ids last; an empty table gives an empty one; other columns aren't read.
+lowest doc_id of the group, null ids last; NFKC and case folding also make ligatures, full-width letters and sharp s equal to their plain forms; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.bytewords import slices
 from vellum.llm.common import cut
 
+BROADCAST_ROWS = 1 << 20
+
 
 def canonical(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).split())
 
 
-def digests(docs: DataFrame, with_body: bool = False) -> DataFrame:
+def wide_digest(body: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(body)
+
+
+def digests(docs: DataFrame, with_body: bool = False, digest: Callable[[bytes], bytes] = wide_digest) -> DataFrame:
     """(id, hi, lo[, body]): the digest of each row that has a text, and its canonical form."""
     schema = "id bigint, hi bigint, lo bigint" + ", body binary" * with_body
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [canonical(t).encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            sums = [xxhash.xxh3_128_digest(b) for b in bodies]
-            cols = [batch.column("id")] + [pa.array([int.from_bytes(s[a : a + 8], "big", signed=True) for s in sums], pa.int64()) for a in (0, 8)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(bodies, pa.binary())] * with_body, names=names)
+        for whole in batches:
+            for batch in slices(whole):
+                bodies = [canonical(t).encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+                sums = np.frombuffer(b"".join(map(digest, bodies)), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                cols = [batch.column("id"), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(bodies, pa.binary())] * with_body, names=names)
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, schema)
 
 
-def fingerprint_groups(docs: DataFrame) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = wide_digest, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, keeper_doc_id, group_size, is_copy) of every row.
 
-    Digests alone are shuffled for the grouping; bodies move only for documents whose digest occurs twice, and
-    the aggregation over them combines before the shuffle, so a text with a million copies is no hot spot.
+    Digests alone are shuffled for the grouping.  While the digests that occur twice are few enough to be sent to all tasks, only the
+    bodies that have one of them move, and beyond that all; the aggregation over them combines before the shuffle, so a text with
+    a million copies is no hot spot.
     """
-    light = digests(docs)
-    twice = light.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo")
-    member = digests(docs, with_body=True).join(twice, ["hi", "lo"], "left_semi")
+    light = cut(digests(docs, digest=digest))
+    twice = cut(light.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"))
+    few = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
+    member = digests(docs, True, digest).join(few, ["hi", "lo"], "left_semi")
     per_body = member.groupBy("hi", "lo", "body").agg(F.min("id").alias("keeper"), F.count("*").alias("n"))
     group = cut(per_body.groupBy("hi", "lo").agg(F.count("*").alias("bodies"), F.min("keeper").alias("keeper"), F.sum("n").alias("n")))
     out = ("id", "keeper", "n")
