@@ -128,8 +128,8 @@ def _later(rows: DataFrame, divisor: int, min_lines: int, salts: int) -> DataFra
     kinds = _with_bodies(rows, shared).groupBy("h").agg(F.min(place).alias("first"), (F.min("body") == F.max("body")).alias("same"))
     marked = shared.join(kinds, "h")
     later = marked.where(F.col("same") & (place > F.col("first"))).select(ID, HASH, "a", "b")
-    # Hashes that deceive: their passages are ranked by their bytes, in `salts` parts first.
-    near = _with_bodies(rows, marked.where(~F.col("same")).select(ID, HASH, "h", "a", "b")).withColumn("salt", F.pmod(F.hash(ID, HASH, "a", "b"), F.lit(salts)))
+    # Hashes that deceive: their passages are ranked by their bytes, in `salts` parts first.  With `first` in it, the condition needs the same kinds as above.
+    near = _with_bodies(rows, marked.where(~F.col("same") & F.col("first").isNotNull()).select(ID, HASH, "h", "a", "b")).withColumn("salt", F.pmod(F.hash(ID, HASH, "a", "b"), F.lit(salts)))
     order = (F.col(ID).asc_nulls_first(), HASH, "a", "b")
     near = near.withColumn("nth", F.rank().over(Window.partitionBy("h", "salt", "body").orderBy(*order)))
     heads = near.where("nth = 1").withColumn("nth", F.rank().over(Window.partitionBy("h", "body").orderBy(*order)))
