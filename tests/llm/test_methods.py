@@ -280,13 +280,40 @@ def test_all_pairs_under_the_distance(spark):
     got = {(r.a.id, r.b.id) for r in hamming_dedup.near_edges(df, all_pairs=True).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(120), 2) if (sig[a] != sig[b]).sum() <= hamming_dedup.LIMIT}
     assert got == want and len(want) > 30
-    forest = hamming_dedup.near_edges(df)
-    roots = {r.node.id: r.root.id for r in hamming_dedup.components(forest).collect()}
     group = {i: i for i in range(120)}
     for _ in range(120):
         for a, b in want:
             group[a] = group[b] = min(group[a], group[b])
-    assert roots == {i: g for i, g in group.items() if g != i}
+    for hot in (10**6, 2, 1):
+        forest = hamming_dedup.near_edges(df, hot=hot)
+        roots = {r.node.id: r.root.id for r in hamming_dedup.components(forest).collect()}
+        assert roots == {i: g for i, g in group.items() if g != i}
+        assert {(r.a.id, r.b.id) for r in forest.collect()} <= want
+
+
+def test_second_keys():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, hamming_dedup.PLACES).astype(np.uint16)
+        b = a.copy()
+        where = rng.choice(hamming_dedup.PLACES, hamming_dedup.LIMIT, replace=False)
+        b[where] += 1
+        sig = np.stack([a, b])
+        keys = hamming_dedup.chunk_keys(sig)
+        shared = np.intersect1d(*keys)
+        assert len(shared)
+        for key in shared:
+            assert len(np.intersect1d(*hamming_dedup.second_keys(sig, np.array([key, key]))))
+
+
+def test_batches_by_key():
+    rng = random.Random(2)
+    for _ in range(100):
+        key = sorted(rng.randrange(6) for _ in range(rng.randrange(30)))
+        cuts = sorted(rng.randrange(len(key) + 1) for _ in range(rng.randrange(6)))
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(key[a:z], pa.int64())}) for a, z in zip([0, *cuts], [*cuts, len(key)])]
+        got = [t.column("key").to_pylist() for t in hamming_dedup._flush_by_key(iter(batches))]
+        assert [k for t in got for k in t] == key and sum(len(set(t)) for t in got) == len(set(key))
 
 
 def test_components_of_a_path(spark):

@@ -8,7 +8,8 @@ errors a chunk may have are enumerated by leaving out each place in turn, so equ
 under the threshold, with no cap; the distance of nominated signatures is then counted exactly.
 
 Equal signatures are collapsed first.  Inside a bucket a breadth-first search compares each reached
-signature with the unreached ones only, which finds the exact connected parts in near-linear time for tight groups.
+signature with the unreached ones only, which finds the exact connected parts in near-linear time for tight groups.  Buckets of more than
+``hot`` signatures are compared with their least one first, and unless all are near it, split by the keys of a second chunk.
 Connected components over all buckets are the groups; the document with the lowest (doc_id, text hash) stays.
 
 Defined results: null, empty and wordless texts have no signature and always stay; a one-word text is
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from vellum.llm.bytewords import Words, mix, slices, windows, words
 from vellum.llm.common import HASH, ID, ROW, cut, keyed_texts, nested, same_document
 
-PLACES, CHUNK, LIMIT = 64, 4, 23
+PLACES, CHUNK, LIMIT, HOT = 64, 4, 23, 20_000
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(1, 1 << 32, PLACES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PLACES, dtype=np.uint64).astype(np.uint32)
@@ -122,41 +123,34 @@ def _all(sig: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return [(u, u + 1 + v) for u in range(len(sig) - 1) for v in np.flatnonzero((sig[u + 1 :] != sig[u]).sum(axis=1) <= limit).tolist()]
 
 
-def near_edges(sigs: DataFrame, limit: int = LIMIT, all_pairs: bool = False) -> DataFrame:
-    """(a, b) over distinct signatures (node, sig): every pair at distance <= limit, or a forest of each bucket's such pairs."""
-
-    def explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = chunk_keys(_matrix(b.column("sig")), CHUNK, limit) if b.num_rows else np.zeros((0, 0), np.int64)
-            n = keys.shape[1]
-            for a in range(0, b.num_rows, 2000):
-                some = keys[a : a + 2000]
-                take = pa.array(np.repeat(np.arange(a, a + len(some)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(some.ravel()), b.column("id").take(take), b.column("hash").take(take)], names=["key", "id", "hash"])
-
-    flat = sigs.select("node.id", "node.hash", "sig")
-    keys = flat.mapInArrow(explode_keys, "key bigint, id bigint, hash bigint")
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = keys.join(twice, "key", "left_semi")
-    carried = shared.alias("s").join(flat.alias("f"), F.expr("s.id <=> f.id AND s.hash = f.hash")).select("s.key", "s.id", "s.hash", "f.sig")
-    pick = _all if all_pairs else _forest
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in [*batches_and_end(batches)]:
-            now = pa.Table.from_batches([b]) if b is not None else None
-            t = pa.concat_tables([x for x in (rest, now) if x is not None]).combine_chunks() if rest is not None or now is not None else None
-            if t is None or not t.num_rows:
-                continue
-            key = t.column("key").to_numpy()
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            whole = t.num_rows if b is None else int(cuts[-1]) if len(cuts) else 0
-            rest = t.slice(whole) if b is not None else None
-            if whole:
-                yield from pairs_of(t.slice(0, whole), key[:whole])
-
-    def pairs_of(t: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sig = _matrix(t.column("sig"))
+def _flush_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of rows sorted by ``key``, put together so that no key is in two tables; each row is copied once."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column("key").to_numpy()
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        cut_at = int(cuts[-1]) if len(cuts) else 0
+        if cut_at:
+            yield pa.Table.from_batches([*held, b.slice(0, cut_at)])
+            held = [b.slice(cut_at)]
+        elif held and key[0] != last:
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(pick, limit: int):
+    """Edges inside the buckets of rows (key, id, hash, sig) sorted by key."""
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, sig = t.column("key").to_numpy(), _matrix(t.column("sig"))
         first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         size = np.diff(first)
         two = first[:-1][size == 2]
@@ -170,14 +164,91 @@ def near_edges(sigs: DataFrame, limit: int = LIMIT, all_pairs: bool = False) ->
             ids, hashes = t.column("id").combine_chunks(), t.column("hash").combine_chunks()
             yield pa.RecordBatch.from_arrays([x.take(pa.array(i)) for i in (a, b) for x in (ids, hashes)], names=["a_id", "a_hash", "b_id", "b_hash"])
 
-    def batches_and_end(batches: Iterator[pa.RecordBatch]):
-        yield from batches
-        yield None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _flush_by_key(batches):
+            yield from pairs_of(t.combine_chunks())
+
+    return run
+
+
+EDGES = "a_id bigint, a_hash bigint, b_id bigint, b_hash bigint"
+
+
+def _inside(shared: DataFrame, flat: DataFrame, pick, limit: int) -> DataFrame:
+    """Edges inside the buckets of (key, id, hash)."""
+    carried = shared.alias("s").join(flat.alias("f"), F.expr("s.id <=> f.id AND s.hash = f.hash")).select("s.key", "s.id", "s.hash", "f.sig")
+    return carried.repartition("key").sortWithinPartitions("key", "id", "hash").mapInArrow(_compare(pick, limit), EDGES)
+
+
+def second_keys(sig: np.ndarray, key: np.ndarray, chunk: int = CHUNK, limit: int = LIMIT) -> np.ndarray:
+    """(rows, keys): for each row, which is in the bucket ``key``, that key together with each key of the chunks that it doesn't come from.
+
+    Two signatures of a bucket are at most ``limit`` apart in the other chunks too, so the pigeonhole principle holds among those.
+    """
+    places = sig.shape[1]
+    owner = np.repeat(np.arange(places // chunk), [chunk if a else 1 for a in allowances(places, chunk, limit)])
+    of = owner[(chunk_keys(sig, chunk, limit) == key[:, None]).argmax(axis=1)]
+    rest = np.arange(places - chunk)[None, :] + np.where(np.arange(places - chunk)[None, :] >= of[:, None] * chunk, chunk, 0)
+    more = chunk_keys(np.take_along_axis(sig, rest, axis=1), chunk, limit)
+    return mix(mix(key.view(np.uint64))[:, None] + more.view(np.uint64)).view(np.int64)
+
+
+def _hot_edges(shared: DataFrame, flat: DataFrame, limit: int) -> DataFrame:
+    """Edges inside buckets that are too large for one task.
+
+    Each signature is compared with the least one of its bucket.  Where all are near that one, they are connected and the bucket is done.
+    The others are split by the keys of a second chunk; parts whose signatures are all near the least one are left out.
+    """
+    carried = shared.alias("s").join(flat.alias("f"), F.expr("s.id <=> f.id AND s.hash = f.hash")).select("s.key", "s.id", "s.hash", "f.sig")
+    # Combined before the shuffle.
+    least = carried.groupBy("key").agg(F.min(F.struct("id", "hash", "sig")).alias("to"))
+    beside = carried.join(least, "key").select("key", "id", "hash", "sig", F.col("to.id").alias("to_id"), F.col("to.hash").alias("to_hash"), F.col("to.sig").alias("to_sig"))
+
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (_matrix(b.column("sig")) != _matrix(b.column("to_sig"))).sum(axis=1) <= limit if b.num_rows else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("key", "id", "hash", "sig", "to_id", "to_hash")), pa.array(near)], names=["key", "id", "hash", "sig", "to_id", "to_hash", "near"])
+
+    known = cut(beside.mapInArrow(distance, "key bigint, id bigint, hash bigint, sig binary, to_id bigint, to_hash bigint, near boolean"))
+    star = known.where("near").select(F.col("to_id").alias("a_id"), F.col("to_hash").alias("a_hash"), F.col("id").alias("b_id"), F.col("hash").alias("b_hash"))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                s = b.slice(at, 2000)
+                keys = second_keys(_matrix(s.column("sig")), s.column("key").to_numpy(), CHUNK, limit)
+                take = pa.array(np.repeat(np.arange(s.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(s.column(n).take(take) for n in ("id", "hash", "near"))], names=["key", "id", "hash", "near"])
+
+    open_keys = known.where("not near").select("key").distinct()
+    parts = known.join(open_keys, "key", "left_semi").select("key", "id", "hash", "sig", "near").mapInArrow(second, "key bigint, id bigint, hash bigint, near boolean")
+    wanted = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("near").alias("near")).where("n > 1 and not near").select("key")
+    return star.unionAll(_inside(parts.join(wanted, "key", "left_semi").select("key", "id", "hash"), flat, _forest, limit))
+
 
-    sorted_keys = carried.repartition("key").sortWithinPartitions("key", "id", "hash")
-    found = sorted_keys.mapInArrow(compare, "a_id bigint, a_hash bigint, b_id bigint, b_hash bigint")
+def near_edges(sigs: DataFrame, limit: int = LIMIT, all_pairs: bool = False, hot: int = HOT) -> DataFrame:
+    """(a, b) over distinct signatures (node, sig): every pair at distance <= limit, or edges that connect what such pairs connect."""
+
+    def explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = chunk_keys(_matrix(b.column("sig")), CHUNK, limit) if b.num_rows else np.zeros((0, 0), np.int64)
+            n = keys.shape[1]
+            for a in range(0, b.num_rows, 2000):
+                some = keys[a : a + 2000]
+                take = pa.array(np.repeat(np.arange(a, a + len(some)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(some.ravel()), b.column("id").take(take), b.column("hash").take(take)], names=["key", "id", "hash"])
+
+    flat = sigs.select("node.id", "node.hash", "sig")
+    keys = flat.mapInArrow(explode_keys, "key bigint, id bigint, hash bigint")
+    many = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    most = many.where(F.col("n") > hot).select("key")
+    if all_pairs or most.isEmpty():
+        found = _inside(keys.join(many.select("key"), "key", "left_semi"), flat, _all if all_pairs else _forest, limit)
+    else:
+        found = _inside(keys.join(many.where(F.col("n") <= hot).select("key"), "key", "left_semi"), flat, _forest, limit)
+        found = found.unionAll(_hot_edges(keys.join(most, "key", "left_semi"), flat, limit))
     a, b = F.struct(F.col("a_id").alias("id"), F.col("a_hash").alias("hash")), F.struct(F.col("b_id").alias("id"), F.col("b_hash").alias("hash"))
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,12 +274,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_groups(docs: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(doc_id, hash, keeper_doc_id, keeper_hash, group_size) of the documents that go."""
     sigs = cut(signatures(docs))
     node = F.struct("id", "hash")
     distinct = cut(sigs.groupBy("sig").agg(F.min(node).alias("node")))
-    roots = components(near_edges(distinct, limit))
+    roots = components(near_edges(distinct, limit, hot=hot))
     rep = distinct.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("keeper"))
     member = sigs.join(rep, "sig").select(node.alias("me"), "keeper")
     sizes = member.groupBy("keeper").agg(F.countDistinct("me").alias("group_size")).where("group_size > 1")
