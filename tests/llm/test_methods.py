@@ -593,3 +593,66 @@ def test_html_accuracy(spark, sf_dir):
     gold = html_bp.gold_states(nodes, [d for _, d in known[100:]])
     leaf = np.array([x is not None for x in nodes.text])
     assert (((html_bp.sum_product(html_bp.tree(nodes), model)[0][:, 1] >= 0.5) == gold)[leaf]).mean() > 0.98
+
+
+def test_pipeline(spark, sf_dir):
+    """All five stages against plain versions, on all rows of the smallest tables."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    model = langid_crf.train(langid_crf.training_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    keep = []
+    for i, text, _ in docs:
+        w = bytewords.words(pa.array([text]))
+        if len(w):
+            forward, und = langid_crf.emissions(model, w), model.labels.index("und")
+            best = plain_marginals(forward, model.trans, model.start).argmax(axis=1)
+            if (best != und).any() and (best != und).mean() >= langid_crf.MIN_SHARE:
+                keep.append((i, text))
+    texts = dict(zip([i for i, _ in keep], plain_line_dedup([t for _, t in keep], 1, 2)))
+    sig, has = hamming_dedup.minhash(bytewords.words(pa.array([texts[i] for i in texts], pa.string())))
+    ids = [[*texts][k] for k in has]
+    group = {i: i for i in ids}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for x, y in itertools.combinations(range(len(ids)), 2):
+        if (sig[x] != sig[y]).sum() <= hamming_dedup.LIMIT:
+            a, b = sorted((root(ids[x]), root(ids[y])))
+            group[b] = a
+    left = [i for i in texts if i not in group or root(i) == i]
+    assert 0 < len(left) < len(docs)
+    grams = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    items = [WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    bad = {n: set().union(*(grams(t, n) for t in items if min(len(t), decontam.MIN_WORDS) == n)) for n in range(decontam.LEAST_ITEM, decontam.MIN_WORDS + 1)}
+    left = [i for i in left if not any(b & grams(WORD.findall(texts[i].lower()), n) for n, b in bad.items() if b)]
+    got, sizes, want = {}, [], []
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        sizes += [r.used] if r.window_id is not None else []
+        for p in r.pieces:
+            got.setdefault(p.doc_id, []).append((p.piece, p.text))
+    assert {i: "".join(t for _, t in sorted(x)) for i, x in got.items()} == {i: texts[i] for i in left}
+    pieces = sorted((n for i in left for k in [len(re.findall("[^ \\t\\n\\v\\f\\r]+", texts[i]))] for n in [packing.CAPACITY] * (k // packing.CAPACITY) + [k % packing.CAPACITY] if n), reverse=True)
+    while pieces:
+        top = pieces.pop(0)
+        fill = packing.best_filling({x: pieces.count(x) for x in pieces}, packing.CAPACITY - top)
+        for x, n in fill.items():
+            for _ in range(n):
+                pieces.remove(x)
+        want.append(top + sum(x * n for x, n in fill.items()))
+    assert sorted(sizes) == sorted(want)
+
+
+def plain_marginals(score, trans, start):
+    """Forward-backward of one text, word by word."""
+    score = score.astype(float) - score.max(axis=1, keepdims=True)
+    a, n = np.exp(trans), len(score)
+    forward, backward = np.zeros_like(score), np.ones_like(score)
+    for i in range(n):
+        forward[i] = np.exp(score[i]) * (forward[i - 1] @ a if i else np.exp(start))
+        forward[i] /= forward[i].sum()
+    for i in range(n - 2, -1, -1):
+        backward[i] = a @ (np.exp(score[i + 1]) * backward[i + 1])
+        backward[i] /= backward[i].sum()
+    return forward * backward
