@@ -161,8 +161,9 @@ def test_line_hashes_that_deceive(spark, monkeypatch):
     assert dict(line_chunks.line_dedup(df).collect()) == dict(enumerate(["a\nb", "c\nd", "x", "y", "e\nf"]))
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 10**6), (2, 10**6), (1, 1), (2, 2)])
-def test_repeated_passages(spark, seed, hot):
+@pytest.mark.parametrize("seed, hot, listed", [(1, 10**6, 100), (2, 10**6, 100), (1, 1, 10**6), (2, 2, 10**6), (2, 1, 0)])
+def test_repeated_passages(spark, monkeypatch, seed, hot, listed):
+    monkeypatch.setattr(lpf_dedup._spans_in, "__defaults__", (listed,))
     texts, least = corpus(seed), 8
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: r["text"] for r in lpf_dedup.removed_repeats(df, least, 3, hot).collect()}

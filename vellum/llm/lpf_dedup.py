@@ -36,7 +36,7 @@ from vellum.llm.bytewords import Words, slices, windows, words
 from vellum.llm.common import HASH, ID, ROW, cut, keyed_texts, nested, same_document
 from vellum.llm.suffixes import Prefixes, number_words, smaller_neighbours, suffix_array
 
-MIN_WORDS, GRAM, BUFFER_BYTES, HOT = 50, 16, 2 << 20, 20_000
+MIN_WORDS, GRAM, BUFFER_BYTES, HOT, LISTED = 50, 16, 2 << 20, 20_000, 1 << 20
 PIECES = f"anchor bigint, {ID} bigint, {HASH} bigint, start int, body binary"
 
 
@@ -207,68 +207,92 @@ def _listed(texts: DataFrame, found: DataFrame) -> DataFrame:
     return texts.join(shared.hint("shuffle_hash"), same_document(texts, shared)).select(texts[ID], texts[HASH], "text", "found")
 
 
-def _spans_in(texts: DataFrame, min_words: int, gram: int, hot: int) -> DataFrame:
+def _spans_in(texts: DataFrame, min_words: int, gram: int, hot: int, listed: int = LISTED) -> DataFrame:
     found = texts.select(ID, HASH, "text").mapInArrow(_anchor_rows(min_words, gram), f"{ID} bigint, {HASH} bigint, anchor bigint, word int")
     many = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     pieces = _listed(texts, found.join(many.where(F.col("n") <= hot), "anchor", "left_semi")).mapInArrow(_piece_rows(min_words, gram), PIECES)
     met = pieces.repartition("anchor").sortWithinPartitions("anchor", ID, HASH, "start")
     spans = met.mapInArrow(_spans(min_words), f"{ID} bigint, {HASH} bigint, start int, n int, source bigint")
-    boiler = many.where(F.col("n") > hot)
+    boiler = many.where(F.col("n") > hot).select("anchor")
     if not boiler.isEmpty():
-        spans = spans.unionByName(_hot_spans(texts, found.join(boiler, "anchor", "left_semi"), min_words, gram))
+        spans = spans.unionByName(_hot_spans(texts.select(ID, HASH, "text"), boiler, min_words, gram, listed))
     grouped = spans.groupBy(ID, HASH).agg(F.array_sort(F.collect_set(F.struct("start", "n", "source"))).alias("spans"))
     return grouped.mapInArrow(_merge, f"{ID} bigint, {HASH} bigint, spans array<struct<start:int,n:int,source:bigint>>")
 
 
-def _hot_spans(texts: DataFrame, found: DataFrame, min_words: int, gram: int) -> DataFrame:
+def _hot_spans(texts: DataFrame, boiler: DataFrame, min_words: int, gram: int, listed: int) -> DataFrame:
     """The spans of anchors that too many pieces hold for one task: each ``min_words`` words around such an anchor are a piece of their own.
 
-    Pieces that occur once go first; what is left is combined before the shuffle: the first place of each, and whether all bodies are equal.
+    Texts don't move.  The anchors, and then the hashes of the pieces that occur twice, go to the tasks as lists while they are few
+    (a hot anchor has very many pieces, so there are few of them), and are joined beyond that.  Bodies are combined before the shuffle:
+    what is kept of each is its first place.
     """
-    listed = _listed(texts, found)
     place = F.struct(ID, HASH, "start")
-    narrow = listed.mapInArrow(_window_rows(min_words, gram, False), f"anchor bigint, {ID} bigint, {HASH} bigint, start int")
-    twice = narrow.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = cut(narrow.join(twice, "anchor", "left_semi"))
-    again = shared.groupBy(ID, HASH).agg(F.collect_set(F.struct("anchor", F.col("start").alias("word"))).alias("found"))
-    bodies = texts.join(again.hint("shuffle_hash"), same_document(texts, again)).select(texts[ID], texts[HASH], "text", "found").mapInArrow(_window_rows(min_words, gram, True), PIECES)
-    first = bodies.groupBy("anchor", "body").agg(F.min(place).alias("first"))
-    kinds = cut(first.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("first").alias("first")))
+    narrow = f"anchor bigint, {ID} bigint, {HASH} bigint, start int"
+
+    def pieces(wanted: DataFrame | None, bodies: bool) -> DataFrame:
+        some = [_list(x, listed) if x is not None else None for x in (boiler, wanted)]
+        found = texts.mapInArrow(_window_rows(min_words, gram, *some, bodies), f"of bigint, {PIECES if bodies else narrow}")
+        if some[0] is None:
+            found = found.join(boiler.select(F.col("anchor").alias("of")), "of", "left_semi")
+        if wanted is not None and some[1] is None:
+            found = found.join(wanted, "anchor", "left_semi")
+        return found.drop("of")
+
+    # A piece that holds two hot anchors comes twice, from one place.
+    counted = pieces(None, False).groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
+    twice = cut(counted.select("anchor"))
+    first = cut(pieces(twice, True).groupBy("anchor", "body").agg(F.min(place).alias("first")))
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("first").alias("first"))
+    few = first.count() <= listed
     if kinds.where("bodies > 1").isEmpty():
-        later = shared.join(kinds, "anchor")
+        later = pieces(twice, False).join(F.broadcast(kinds) if few else kinds, "anchor")
     else:  # hashes that deceive
-        later = bodies.join(first, ["anchor", "body"])
+        later = pieces(twice, True).join(F.broadcast(first) if few else first, ["anchor", "body"])
     return later.where(place > F.col("first")).select(ID, HASH, "start", F.lit(min_words).alias("n"), F.col("first")[ID].alias("source")).distinct()
 
 
-def _window_rows(min_words: int, gram: int, listed: bool):
-    """The hash, place and, where they are ``listed`` by their first words, the body of each window; else all windows around the anchors."""
+def _list(df: DataFrame, most: int) -> np.ndarray | None:
+    """The values of a column of numbers, in order; None where there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    return np.array(sorted(r[0] for r in rows), dtype=np.int64) if len(rows) <= most else None
+
+
+def _among(x: np.ndarray, some: np.ndarray | None) -> np.ndarray:
+    if some is None:
+        return np.ones(len(x), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), dtype=bool)
+
+
+def _window_rows(min_words: int, gram: int, of: np.ndarray | None, wanted: np.ndarray | None, bodies: bool):
+    """(anchor, hash of the window, id, hash, first word[, body]) of all windows of ``min_words`` words around the anchors ``of``, as far as their hashes are ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
                 w = words(b.column("text"), lower=False)
-                lists = b.column("found")
-                found = lists.flatten()
-                doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                anchor, word = (found.field(n).to_numpy(zero_copy_only=False) for n in ("anchor", "word"))
+                anchor, doc, word = anchors(w, min_words, gram)
+                hit = _among(anchor, of)
+                anchor, doc, word = anchor[hit], doc[hit], word[hit]
                 at = w.first[doc] + word
-                if not listed:
-                    low = np.maximum(at - (min_words - gram), w.first[doc])
-                    high = np.minimum(at, w.first[doc + 1] - min_words)
-                    n = np.maximum(high - low + 1, 0)
-                    at = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
-                    doc = np.searchsorted(w.first, at, "right") - 1
-                    value, where = windows(w.hashes(), w.first, min_words)
-                    anchor = value[np.searchsorted(where, at)].view(np.int64)
-                data = w.data.tobytes()
+                low = np.maximum(at - (min_words - gram), w.first[doc])
+                n = np.maximum(np.minimum(at, w.first[doc + 1] - min_words) - low + 1, 0)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                doc, anchor = np.repeat(doc, n), np.repeat(anchor, n)
+                if not len(at):
+                    continue
+                value, where = windows(w.hashes(), w.first, min_words)
+                value = value[np.searchsorted(where, at)].view(np.int64)
+                hit = _among(value, wanted)
+                at, doc, anchor, value = at[hit], doc[hit], anchor[hit], value[hit]
+                data = w.data.tobytes() if bodies else b""
                 for x in range(0, len(doc), 10000):
                     s = slice(x, x + 10000)
                     take = pa.array(doc[s])
-                    cols = [pa.array(anchor[s]), b.column(ID).take(take), b.column(HASH).take(take), pa.array(at[s] - w.first[doc[s]], pa.int32())]
-                    if listed:
+                    cols = [pa.array(anchor[s]), pa.array(value[s]), b.column(ID).take(take), b.column(HASH).take(take), pa.array(at[s] - w.first[doc[s]], pa.int32())]
+                    if bodies:
                         cols.append(pa.array([data[i:j] for i, j in zip(w.start[at[s]].tolist(), w.end[at[s] + min_words - 1].tolist())], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["anchor", ID, HASH, "start", "body"][: len(cols)])
+                    yield pa.RecordBatch.from_arrays(cols, names=["of", "anchor", ID, HASH, "start", "body"][: len(cols)])
 
     return run
 
