@@ -35,6 +35,10 @@ INDEX = "file string, record int, offset bigint, length bigint, raw_length bigin
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """For use in tasks, where there is no JVM; Spark's names of object stores are those of Arrow's file systems but for the scheme."""
+    for other in ("s3a://", "s3n://"):
+        if path.startswith(other):
+            path = "s3://" + path[len(other) :]
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
