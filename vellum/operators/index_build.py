@@ -12,15 +12,18 @@ Tables of an index (a snapshot holds one DataFrame of each):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import IndexConfig
 from vellum.functions.render import render
 
 TABLES = ("docs", "postings", "term_stats", "field_stats", "meta", "tombstones")
+#: Whether the postings of a field and a term are asked for.
+Wanted = Callable[[Column, Column], Column]
 
 
 @dataclass
@@ -34,10 +37,19 @@ class Snapshot:
     fields: list[str]
     deleted: int | None = None  # how many tombstones and segments there are, where that is known
     segments: int | None = None
+    source: tuple[DataFrame, IndexConfig] | None = None  # documents without stored postings: a search makes those that it asks for
 
     def persist(self) -> Snapshot:
         """Keeps what every search reads; ``unpersist`` lets it go."""
-        return replace(self, **{t: getattr(self, t).persist() for t in TABLES[1:5]})
+        return replace(self, source=None, **{t: getattr(self, t).persist() for t in TABLES[1:5]})
+
+    def select(self, wanted: Wanted) -> DataFrame:
+        """The postings that are asked for, with df."""
+        if self.source is None:
+            hit = wanted(F.col("field"), F.col("term"))
+            return self.postings.where(hit).join(self.term_stats.where(hit), ["segment_id", "field", "term"])
+        # All postings of a wanted term are there, so they are counted where they meet, and documents are analyzed once.
+        return postings(*self.source, wanted).withColumn("df", F.count("*").over(Window.partitionBy("segment_id", "field", "term")))
 
     def unpersist(self) -> None:
         for t in TABLES[1:5]:
@@ -74,23 +86,41 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("segment_id", "field").agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
 
 
-def postings(docs: DataFrame, config: IndexConfig) -> DataFrame:
-    """(segment_id, field, term, doc_ord, tf, positions, length), made without a shuffle.
+def analyzed(docs: DataFrame, config: IndexConfig) -> DataFrame | None:
+    """(segment_id, doc_ord, field, tokens, length) of every document and indexed field; None where no field is indexed."""
+    names = [c for c in docs.columns if c not in ("segment_id", "doc_ord", "doc_id") and c not in config.no_index]
+    if not names:
+        return None
+    per_field = [F.struct(F.lit(c).alias("field"), config.analyzer(c).column(render(F.col(c), docs.schema[c].dataType)).alias("tokens")) for c in names]
+    each = docs.select("segment_id", "doc_ord", F.explode(F.array(*per_field)).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens")
+    return each.withColumn("length", F.size("tokens"))
+
+
+def lengths_of(docs: DataFrame, config: IndexConfig) -> DataFrame:
+    """(segment_id, field, doc_ord, length) of every field with a token, made without a shuffle and without postings."""
+    each = analyzed(docs, config)
+    if each is None:
+        return docs.sparkSession.createDataFrame([], "segment_id string, field string, doc_ord bigint, length int")
+    return each.select("segment_id", "field", "doc_ord", "length").where("length > 0")
+
+
+def postings(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None) -> DataFrame:
+    """(segment_id, field, term, doc_ord, tf, positions, length), made without a shuffle; ``wanted`` says which, all of them by default.
 
     A document's tokens of a field are one array, so term frequencies, positions and the field's length come from that array alone.
     """
-    names = [c for c in docs.columns if c not in ("segment_id", "doc_ord", "doc_id") and c not in config.no_index]
+    each = analyzed(docs, config)
     schema = "segment_id string, field string, term string, doc_ord bigint, tf int, positions array<int>, length int"
-    if not names:
+    if each is None:
         return docs.sparkSession.createDataFrame([], schema)
-    per_field = [F.struct(F.lit(c).alias("field"), config.analyzer(c).column(render(F.col(c), docs.schema[c].dataType)).alias("tokens")) for c in names]
-    each = docs.select("segment_id", "doc_ord", F.explode(F.array(*per_field)).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens")
+    if wanted is not None:
+        each = each.withColumn("tokens", F.filter("tokens", lambda t: wanted(F.col("field"), t["term"]))).where(F.size("tokens") > 0)
     # Sorted by (term, position), tokens of one term stand together: each run is one posting.  Postings are made before the array is
     # exploded, so that no row carries the tokens of its document along.
-    each = each.withColumn("tokens", F.array_sort("tokens")).withColumn("length", F.size("tokens"))
-    at = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array().cast("array<int>"))
+    each = each.withColumn("tokens", F.array_sort("tokens")).withColumn("kept", F.size("tokens"))
+    at = F.when(F.col("kept") > 0, F.sequence(F.lit(0), F.col("kept") - 1)).otherwise(F.array().cast("array<int>"))
     each = each.withColumn("heads", F.filter(at, lambda i: (i == 0) | (F.get("tokens", i)["term"] != F.get("tokens", i - 1)["term"])))
-    ends = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array("length"))
+    ends = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array("kept"))
     places = lambda a, z: F.transform(F.slice("tokens", a + 1, z - a), lambda t: t["position"])
     made = F.zip_with("heads", ends, lambda a, z: F.when(a.isNotNull(), F.struct(F.get("tokens", a)["term"].alias("term"), (z - a).alias("tf"), places(a, z).alias("positions"))))
     each = each.select("segment_id", "doc_ord", "field", "length", F.explode_outer(made).alias("p")).where("p is not null")
@@ -117,3 +147,10 @@ def snapshot(docs: DataFrame, config: IndexConfig, fields: list[str] | None = No
     lengths = post.select("segment_id", "field", "doc_ord", "length").distinct()
     names = fields or [c for c in docs.columns if c not in ("segment_id", "doc_ord", "doc_id") and c not in config.no_index]
     return Snapshot(stored(docs, config), post, term_stats(post), field_stats(lengths), segment_meta(docs), None, names)
+
+
+def unstored(docs: DataFrame, config: IndexConfig) -> Snapshot:
+    """The same index with nothing kept but the statistics of fields and segments: each search makes the postings of its terms from the documents."""
+    snap = snapshot(docs, config)
+    stats = field_stats(lengths_of(docs, config)).persist()
+    return replace(snap, field_stats=stats, meta=snap.meta.persist(), source=(docs, config))

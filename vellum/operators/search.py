@@ -28,9 +28,9 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
 
 
-def leaf_condition(leaf: Leaf) -> Column:
+def leaf_condition(leaf: Leaf, field: Column | None = None, term: Column | None = None) -> Column:
     """Whether a posting belongs to the leaf.  Patterns that only begin or end with a star become prefix, suffix or substring tests."""
-    term = F.col("term")
+    field, term = F.col("field") if field is None else field, F.col("term") if term is None else term
     if not leaf.regex:
         hit = term == leaf.term
     else:
@@ -45,7 +45,7 @@ def leaf_condition(leaf: Leaf) -> Column:
             hit = term.contains(core)
         else:
             hit = term.rlike(wildcard_regex(leaf.term))
-    return hit if leaf.field is None else (F.col("field") == leaf.field) & hit
+    return hit if leaf.field is None else (field == leaf.field) & hit
 
 
 def phrase_fits(phrase: PhraseIn, places: dict[tuple[str, str], Column]) -> Column:
@@ -67,10 +67,11 @@ def relevant(snap: Snapshot, c: Compiled) -> DataFrame:
     """Postings that the query touches, with df, segment size and average length."""
     leaves = list(dict.fromkeys([*(leaf for leaf, _ in c.scores), *c.leaves(), *c.excluded, *(Leaf(p.field, t) for p in c.phrases() for t, _ in p.words), *(c.loaded if c.uses_active() else ())]))
     terms = sorted({leaf.term for leaf in leaves if not leaf.regex})
-    wanted = _any([*([F.col("term").isin(terms)] if terms else []), *(leaf_condition(leaf) for leaf in leaves if leaf.regex)])
-    post = snap.postings.where(wanted)
-    df = snap.term_stats.where(wanted)
-    return post.join(df, ["segment_id", "field", "term"]).join(snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord"), "segment_id").join(snap.field_stats.select("segment_id", "field", "avg_length"), ["segment_id", "field"], "left")
+
+    def wanted(field: Column, term: Column) -> Column:
+        return _any([*([term.isin(terms)] if terms else []), *(leaf_condition(leaf, field, term) for leaf in leaves if leaf.regex)])
+
+    return snap.select(wanted).join(snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord"), "segment_id").join(snap.field_stats.select("segment_id", "field", "avg_length"), ["segment_id", "field"], "left")
 
 
 def matches(snap: Snapshot, query: str | Node, config: IndexConfig, scorer: Scorer | None = None) -> DataFrame:
