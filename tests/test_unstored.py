@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from test_search import CONFIG, as_hits, corpus, expected, query, ranked
 from vellum.functions.analysis import standard_tokens, standard_words
+from vellum.operators.batch import search_many
 from vellum.operators.index_build import postings, unstored, with_ids
 from vellum.operators.search import search
 
@@ -34,6 +35,19 @@ def test_wanted_postings_are_those_of_all(index):
     assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect())) != []
 
 
+def test_batch(spark, index):
+    rows, snap = index
+    rng = random.Random(7)
+    many = " ".join(f"w{i}" for i in range(150))
+    texts = {f"q{i}": query(rng) for i in range(60)} | {"long": f"{many} fox", "musts": f"+fox +({many} quick)"}
+    got = {}
+    for r in search_many(snap, spark.createDataFrame(list(texts.items()), "query_id string, text string"), CONFIG, top_k=1000).collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, int(r.segment_id), round(r.score, 6)))
+    for q, text in texts.items():
+        assert ranked(got.get(q, [])) == ranked([h[:3] for h in expected(rows, text)]), text
+    assert got["long"] and got["musts"]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -50,3 +64,9 @@ def test_runs_are_cut_as_the_words_of_queries(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", standard_tokens(F.col("t")).alias("k"))
     assert {r.t: [(k.term, k.position) for k in r.k] for r in df.collect()} == {t: standard_words(t) for t in texts}
     assert "split(lower" not in plan(df) and "lower(t" not in plan(df)
+
+
+def test_a_batch_copies_postings_where_their_document_stands(spark, sf_dir):
+    text = plan(__spark_entry__.queries()["batch_topk"](spark, sf_dir))
+    # Nothing is shuffled by query and document.
+    assert not [x for x in text.split("\n") if "Exchange hashpartitioning(query_id#" in x and "doc_ord#" in x.split("ENSURE")[0]]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,10 @@ from vellum.plans.compile import Compiled, Condition, Leaf, compile_query, wildc
 from vellum.plans.parser import contains_range, parse
 
 #: The most sets of a normal form; a longer condition is kept as a tree.  The most terms that go to the files as a list.
-LONGEST, LISTED = 64, 2000
+#: The most terms that are looked up in a set where postings are made on demand.
+LONGEST, LISTED, SET = 64, 2000, 20_000
+#: Leaves in one word of a mask.
+WORD = 62
 NEED = "query_id string, role string, field string, term string, regex boolean, boost double, bit int, idx int, off int, n int, slop int"
 FORMULA = "query_id string, ands boolean, formula array<array<int>>, tree string"
 
@@ -144,6 +148,12 @@ def parsed(queries: DataFrame, fields: list[str], config: IndexConfig) -> DataFr
     return texts.mapInArrow(run, f"{FORMULA}, needs {need_type}")
 
 
+def _mask(bits: Column, k: int) -> Column:
+    """The k-th word of the mask of an array of leaf numbers."""
+    mine = F.filter(bits, lambda b: F.floor(b / WORD) == k)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b - k * WORD).cast("int"))))
+
+
 def _few(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
@@ -156,7 +166,9 @@ def search_many(snap: Snapshot, queries: DataFrame, config: IndexConfig, top_k:
     scorer = scorer or BM25()
     plans = parsed(queries, snap.fields, config).persist()
     need = plans.select(F.explode("needs").alias("n")).select("n.*")
-    seen = need.agg(F.count("*").alias("rows"), F.count_if("regex").alias("wild"), F.count_if(F.col("role") == "phrase").alias("phrase"), F.count_if(F.col("role") == "active").alias("active")).first()
+    seen = need.agg(F.count("*").alias("rows"), F.count_if("regex").alias("wild"), F.count_if(F.col("role") == "phrase").alias("phrase"), F.count_if(F.col("role") == "active").alias("active"), F.coalesce(F.max("bit"), F.lit(0)).alias("bit")).first()
+    # A document's true leaves are words of a mask, so that they are combined as numbers are.
+    masks = [f"have{k}" for k in range(seen["bit"] // WORD + 1)]
     every = F.array(*[F.lit(f) for f in snap.fields]) if snap.fields else F.array().cast("array<string>")
     rows = need.where("not regex and role <> 'active'").withColumn("field", F.explode(F.when(F.col("field").isNull(), every).otherwise(F.array("field"))))
     count = seen["rows"] * max(1, len(snap.fields))
@@ -170,41 +182,56 @@ def search_many(snap: Snapshot, queries: DataFrame, config: IndexConfig, top_k:
         count = rows.count()
     bits = F.array_distinct(F.collect_list(F.when(F.col("role") == "bit", F.col("bit"))))
     wanted = rows.where("role <> 'phrase'").groupBy("query_id", "field", "term").agg(F.sum("boost").alias("weight"), bits.alias("bits"), F.max(F.col("role") == "not").alias("x"), F.max(F.col("role") == "load").alias("load"))
+    wanted = wanted.select("query_id", "field", "term", "weight", "x", "load", *[_mask(F.col("bits"), k).alias(m) for k, m in enumerate(masks)])
     words = rows.select("field", "term").distinct()
-    post, stats = snap.postings, snap.term_stats
-    listed = [r["term"] for r in rows.select("term").distinct().limit(LISTED + 1).collect()]
-    if len(listed) <= LISTED:
-        post, stats = post.where(F.col("term").isin(listed)), stats.where(F.col("term").isin(listed))
-    post = post.join(_few(words, count), ["field", "term"], "left_semi")
-    stats = stats.join(_few(words, count), ["field", "term"], "left_semi")
+    longest = LISTED if snap.source is None else SET
+    listed = [r["term"] for r in rows.select("term").distinct().limit(longest + 1).collect()]
+    is_listed = lambda field, term: term.isin(listed) if len(listed) <= longest else F.lit(True)
+    segments = snap.segments if snap.source is None else snap.meta.count()
     dims = snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord").join(snap.field_stats.select("segment_id", "field", "avg_length"), "segment_id")
-    # What a posting's contribution needs beside the posting is joined term by term first.
-    known = stats.join(_few(dims, snap.segments * len(snap.fields) if snap.segments else None), ["segment_id", "field"])
-    hits = post.join(known, ["segment_id", "field", "term"]).join(_few(wanted, count), ["field", "term"])
+    dims = _few(dims, segments * max(1, len(snap.fields)) if segments is not None else None)
+    if snap.source is None:
+        post = snap.postings.where(is_listed(F.col("field"), F.col("term"))).join(_few(words, count), ["field", "term"], "left_semi")
+        stats = snap.term_stats.where(is_listed(F.col("field"), F.col("term"))).join(_few(words, count), ["field", "term"], "left_semi")
+        # What a posting's contribution needs beside the posting is joined term by term first.
+        known = post.join(stats.join(dims, ["segment_id", "field"]), ["segment_id", "field", "term"])
+    else:
+        post = snap.select(is_listed).join(_few(words, count), ["field", "term"], "left_semi")
+        known = post.join(dims, ["segment_id", "field"])
     of_field = F.lit(1.0)
     for name, boost in config.boost.items():
         of_field = F.when(F.col("field") == name, F.lit(float(boost))).otherwise(of_field)
-    part: Column = scorer.contribution(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("avg_length")) * of_field * F.col("weight")
+    worth: Column = scorer.contribution(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("avg_length")) * of_field
+    known = known.select("segment_id", "seg_ord", "doc_ord", "field", "term", worth.alias("worth"))
     key = ["query_id", "segment_id", "doc_ord"]
-    scored = hits.select(*key, part.alias("part"), "bits", "x")
+    if count <= BROADCAST_ROWS:
+        # The postings of a document meet before each is copied for its queries; what follows is summed up where it stands.
+        known = known.repartition("segment_id", "doc_ord")
+    hits = known.join(_few(wanted, count), ["field", "term"])
+    scored = hits.select(*key, "seg_ord", (F.col("worth") * F.col("weight")).alias("part"), *masks, "x")
     if seen["phrase"]:
         phrase = rows.where("role = 'phrase'").select("query_id", "field", "term", "bit", "idx", "off", "n", "slop")
         found = post.join(_few(phrase, count), ["field", "term"]).groupBy(*key, "bit", "field", "n", "slop").agg(F.array_sort(F.collect_list(F.struct("idx", "off", "positions"))).alias("w")).where("size(w) = n")
         head, rest = F.get("w", F.lit(0)), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
         fits = F.exists(head["positions"], lambda s: F.forall(rest, lambda r: F.exists(r["positions"], lambda p: F.abs(p - (s + r["off"] - head["off"])) <= F.col("slop"))))
-        scored = scored.unionByName(found.where(fits).select(*key, F.lit(0.0).alias("part"), F.array("bit").alias("bits"), F.lit(False).alias("x")))
-    total = scored.groupBy(*key).agg(F.sum("part").alias("score"), F.array_distinct(F.flatten(F.collect_list("bits"))).alias("have"), F.max("x").alias("x")).where("score > 0 and not x")
+        scored = scored.unionByName(found.where(fits).select(*key, F.lit(None).cast("bigint").alias("seg_ord"), F.lit(0.0).alias("part"), *[_mask(F.array("bit"), k).alias(m) for k, m in enumerate(masks)], F.lit(False).alias("x")))
+    total = scored.groupBy(*key).agg(F.sum("part").alias("score"), F.max("seg_ord").alias("seg_ord"), *[F.bit_or(m).alias(m) for m in masks], F.max("x").alias("x")).where("score > 0 and not x")
     if seen["active"]:
         active = hits.where("load").select("query_id", "segment_id", "field").distinct().join(need.where("role = 'active'").select("query_id", "field", "bit"), ["query_id", "field"]).groupBy("query_id", "segment_id").agg(F.collect_set("bit").alias("more"))
-        total = total.join(active, ["query_id", "segment_id"], "left").withColumn("have", F.concat("have", F.coalesce("more", F.array().cast("array<int>")))).drop("more")
-    total = total.join(_few(plans.select("query_id", "ands", "formula", "tree"), seen["rows"]), "query_id")
-    true = F.when(F.col("ands"), F.forall("formula", lambda s: F.exists(s, lambda b: F.array_contains(F.col("have"), b)))).otherwise(F.exists("formula", lambda s: F.forall(s, lambda b: F.array_contains(F.col("have"), b))))
-    kept = total.where("tree is null").where(true).select(*key, "score")
+        more = F.coalesce("more", F.array().cast("array<int>"))
+        total = total.join(active, ["query_id", "segment_id"], "left").withColumns({m: F.col(m).bitwiseOR(_mask(more, k)) for k, m in enumerate(masks)}).drop("more")
+    sets = F.transform("formula", lambda s: F.struct(*[_mask(s, k).alias(m) for k, m in enumerate(masks)]))
+    total = total.join(_few(plans.select("query_id", "ands", sets.alias("sets"), "tree"), seen["rows"]), "query_id")
+    every_bit = lambda s: reduce(lambda a, b: a & b, [F.col(m).bitwiseAND(s[m]) == s[m] for m in masks])
+    any_bit = lambda s: reduce(lambda a, b: a | b, [F.col(m).bitwiseAND(s[m]) != 0 for m in masks])
+    true = F.when(F.col("ands"), F.forall("sets", any_bit)).otherwise(F.exists("sets", every_bit))
+    kept = total.where("tree is null").where(true).select(*key, "seg_ord", "score")
     if not plans.where("tree is not null").isEmpty():
-        long = total.where("tree is not null").select(*key, "score", "have", "tree")
-        kept = kept.unionByName(long.mapInArrow(_with_trees, long.schema).select(*key, "score"))
+        have = F.concat(*[F.filter(F.array(*[F.when(F.col(m).bitwiseAND(1 << i) != 0, F.lit(k * WORD + i)) for i in range(WORD)]), lambda b: b.isNotNull()) for k, m in enumerate(masks)])
+        long = total.where("tree is not null").select(*key, "seg_ord", "score", have.alias("have"), "tree")
+        kept = kept.unionByName(long.mapInArrow(_with_trees, long.schema).select(*key, "seg_ord", "score"))
     if snap.tombstones is not None:
         kept = kept.join(deleted_places(snap), ["segment_id", "doc_ord"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE)), "seg_ord", "doc_ord")
-    ranked = kept.join(_few(snap.meta.select("segment_id", "seg_ord"), snap.segments), "segment_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     return ranked.join(snap.docs.select("segment_id", "doc_ord", "doc_id"), ["segment_id", "doc_ord"]).select("query_id", "rank", "doc_id", "segment_id", "score")

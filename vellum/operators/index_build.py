@@ -117,7 +117,7 @@ def postings(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None)
         each = each.withColumn("tokens", F.filter("tokens", lambda t: wanted(F.col("field"), t["term"]))).where(F.size("tokens") > 0)
     # Sorted by (term, position), tokens of one term stand together: each run is one posting.  Postings are made before the array is
     # exploded, so that no row carries the tokens of its document along.
-    each = each.withColumn("tokens", F.array_sort("tokens")).withColumn("kept", F.size("tokens"))
+    each = each.withColumn("tokens", F.sort_array("tokens")).withColumn("kept", F.size("tokens"))
     at = F.when(F.col("kept") > 0, F.sequence(F.lit(0), F.col("kept") - 1)).otherwise(F.array().cast("array<int>"))
     each = each.withColumn("heads", F.filter(at, lambda i: (i == 0) | (F.get("tokens", i)["term"] != F.get("tokens", i - 1)["term"])))
     ends = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array("kept"))
