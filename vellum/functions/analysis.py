@@ -30,25 +30,75 @@ _RUN = re.compile(r"[a-z0-9_]+")
 
 @dataclass(frozen=True)
 class Analyzer:
+    """``cut`` and ``token``, which an analyzer may leave out, tell its tokens before they are made: ``cut`` has the word at each place, from 1,
+    and ``token`` is the token of a word and whether it is one, so that tokens are counted and sought without making the others."""
+
     name: str
     column: Callable[[Column], Column]
     words: Callable[[str], list[tuple[str, int]]]
+    cut: Callable[[Column], Column] | None = None
+    token: Callable[[Column], tuple[Column, Column]] | None = None
+
+    def count(self, text: Column) -> Column:
+        """The number of the text's tokens."""
+        if self.cut is None:
+            return F.size(self.column(text))
+        return F.size(F.filter(self.cut(text), lambda t: self.token(t)[1]))
+
+    def sought(self, text: Column, wanted: Callable[[Column], Column]) -> Column:
+        """array<struct<tokens, length>>: the tokens with a wanted term and the number of all, or nothing where no term is wanted.
+
+        The text is cut once; tokens are counted only where one is wanted.
+        """
+        if self.cut is None:
+            pick = lambda ts: F.filter(ts, lambda t: wanted(t["term"]))
+            words, size = self.column(text), F.size
+        else:
+            pick = lambda ts: made(ts, self.token, wanted)
+            words, size = self.cut(text), lambda ts: F.size(F.filter(ts, lambda t: self.token(t)[1]))
+        some = lambda ts: F.filter(F.array(pick(ts)), lambda p: F.size(p) > 0)
+        return F.get(F.transform(F.array(words), lambda ts: F.transform(some(ts), lambda p: F.struct(p.alias("tokens"), size(ts).alias("length")))), F.lit(0))
+
+
+def made(words: Column, token: Callable[[Column], tuple[Column, Column]], wanted: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<term, position>> of the words that are tokens, and wanted ones."""
+
+    def one(t: Column, i: Column) -> Column:
+        term, kept = token(t)
+        kept = kept if wanted is None else wanted(term) & kept
+        return F.when(kept, F.struct(term.alias("term"), i.cast("int").alias("position")))
+
+    return F.filter(F.transform(words, one), lambda t: t.isNotNull())
+
+
+def plain(text: Column) -> Column:
+    """Of all characters but ASCII letters two have a lowercase form that holds one; they get it before words are lowercased."""
+    return F.replace(F.replace(text, F.lit("\u212a"), F.lit("k")), F.lit("\u0130"), F.lit("i\u0307"))
 
 
 def runs(text: Column) -> Column:
     """The runs of ASCII letters, digits and underscores in the lowercased text, as they come.
 
     Runs are cut first and lowercased one by one, which takes a quarter of the time: lowercasing whole texts and splitting at a negated set are both
-    slow.  Of all other characters two have a lowercase form that holds an ASCII letter; they get it before.
+    slow.
     """
-    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit("k")), F.lit("\u0130"), F.lit("i\u0307"))
-    return F.transform(F.filter(F.split(plain, r"\W+"), lambda t: t != ""), lambda t: F.lower(t))
+    return F.transform(F.filter(F.split(plain(text), r"\W+"), lambda t: t != ""), lambda t: F.lower(t))
+
+
+def standard_cut(text: Column) -> Column:
+    """The runs, not lowercased, each at its number from 1: a text that begins with no run's character has a blank at 0."""
+    return F.split(F.concat(F.lit(" "), plain(text)), r"\W+")
+
+
+def standard_token(word: Column) -> tuple[Column, Column]:
+    """Words are ASCII, so their bytes are their length; those longer than any stop word aren't looked up."""
+    term, size = F.lower(word), F.octet_length(word)
+    return term, (size >= 2) & ((size > max(map(len, STOP_WORDS))) | ~term.isin(*STOP_WORDS))
 
 
 def standard_tokens(text: Column) -> Column:
     """array<struct<term, position>> of a string column; null and empty texts have none."""
-    numbered = F.transform(runs(text), lambda t, i: F.struct(t.alias("term"), (i + 1).cast("int").alias("position")))
-    return F.filter(numbered, lambda t: (F.length(t["term"]) >= 2) & ~t["term"].isin(*STOP_WORDS))
+    return made(standard_cut(text), standard_token)
 
 
 def standard_words(text: str) -> list[tuple[str, int]]:
@@ -56,6 +106,14 @@ def standard_words(text: str) -> list[tuple[str, int]]:
     return [(t, i) for i, t in enumerate(_RUN.findall(text.lower()), 1) if len(t) >= 2 and t not in stop]
 
 
+def keyword_cut(text: Column) -> Column:
+    return F.array(F.lit(""), F.trim(F.lower(text)))
+
+
+def keyword_token(word: Column) -> tuple[Column, Column]:
+    return word, word != ""
+
+
 def keyword_tokens(text: Column) -> Column:
     value = F.trim(F.lower(text))
     one = F.array(F.struct(value.alias("term"), F.lit(1).alias("position")))
@@ -67,8 +125,8 @@ def keyword_words(text: str) -> list[tuple[str, int]]:
     return [(value, 1)] if value else []
 
 
-STANDARD = Analyzer("standard", standard_tokens, standard_words)
-KEYWORD = Analyzer("keyword", keyword_tokens, keyword_words)
+STANDARD = Analyzer("standard", standard_tokens, standard_words, standard_cut, standard_token)
+KEYWORD = Analyzer("keyword", keyword_tokens, keyword_words, keyword_cut, keyword_token)
 _registry = {a.name: a for a in (STANDARD, KEYWORD)}
 
 

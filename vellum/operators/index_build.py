@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import IndexConfig
+from vellum.functions.analysis import Analyzer
 from vellum.functions.render import render
 
 TABLES = ("docs", "postings", "term_stats", "field_stats", "meta", "tombstones")
@@ -86,22 +88,41 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("segment_id", "field").agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
 
 
-def analyzed(docs: DataFrame, config: IndexConfig) -> DataFrame | None:
-    """(segment_id, doc_ord, field, tokens, length) of every document and indexed field; None where no field is indexed."""
+def indexed(docs: DataFrame, config: IndexConfig) -> list[tuple[str, Analyzer, Column]]:
+    """Name, analyzer and text of every indexed field."""
     names = [c for c in docs.columns if c not in ("segment_id", "doc_ord", "doc_id") and c not in config.no_index]
-    if not names:
+    return [(c, config.analyzer(c), render(F.col(c), docs.schema[c].dataType)) for c in names]
+
+
+def analyzed(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None) -> DataFrame | None:
+    """(segment_id, doc_ord, field, tokens, length) of every document and indexed field; None where no field is indexed.
+
+    With ``wanted``, of those alone that have a wanted token, and with these tokens alone.  No other is made or leaves its document, as a row
+    with all tokens of a text is several times the text.
+    """
+    fields = indexed(docs, config)
+    if not fields:
         return None
-    per_field = [F.struct(F.lit(c).alias("field"), config.analyzer(c).column(render(F.col(c), docs.schema[c].dataType)).alias("tokens")) for c in names]
-    each = docs.select("segment_id", "doc_ord", F.explode(F.array(*per_field)).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens")
-    return each.withColumn("length", F.size("tokens"))
+    if wanted is None:
+        per_field = F.array(*[F.struct(F.lit(c).alias("field"), a.column(text).alias("tokens")) for c, a, text in fields])
+        each = docs.select("segment_id", "doc_ord", F.explode(per_field).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens")
+        return each.withColumn("length", F.size("tokens"))
+
+    def of(name: str, found: Column) -> Column:
+        return F.transform(found, lambda h: F.struct(F.lit(name).alias("field"), h["tokens"].alias("tokens"), h["length"].alias("length")))
+
+    sought = [of(c, a.sought(text, partial(wanted, F.lit(c)))) for c, a, text in fields]
+    return docs.select("segment_id", "doc_ord", F.explode(F.flatten(F.array(*sought))).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens", "f.length")
 
 
 def lengths_of(docs: DataFrame, config: IndexConfig) -> DataFrame:
-    """(segment_id, field, doc_ord, length) of every field with a token, made without a shuffle and without postings."""
-    each = analyzed(docs, config)
-    if each is None:
+    """(segment_id, field, doc_ord, length) of every field with a token, made without a shuffle, postings or tokens."""
+    fields = indexed(docs, config)
+    if not fields:
         return docs.sparkSession.createDataFrame([], "segment_id string, field string, doc_ord bigint, length int")
-    return each.select("segment_id", "field", "doc_ord", "length").where("length > 0")
+    counts = F.array(*[F.struct(F.lit(c).alias("field"), a.count(text).alias("length")) for c, a, text in fields])
+    each = docs.select("segment_id", "doc_ord", F.explode(counts).alias("f"))
+    return each.select("segment_id", "f.field", "doc_ord", "f.length").where("length > 0")
 
 
 def postings(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None) -> DataFrame:
@@ -109,12 +130,10 @@ def postings(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None)
 
     A document's tokens of a field are one array, so term frequencies, positions and the field's length come from that array alone.
     """
-    each = analyzed(docs, config)
+    each = analyzed(docs, config, wanted)
     schema = "segment_id string, field string, term string, doc_ord bigint, tf int, positions array<int>, length int"
     if each is None:
         return docs.sparkSession.createDataFrame([], schema)
-    if wanted is not None:
-        each = each.withColumn("tokens", F.filter("tokens", lambda t: wanted(F.col("field"), t["term"]))).where(F.size("tokens") > 0)
     # Sorted by (term, position), tokens of one term stand together: each run is one posting.  Postings are made before the array is
     # exploded, so that no row carries the tokens of its document along.
     each = each.withColumn("tokens", F.sort_array("tokens")).withColumn("kept", F.size("tokens"))
