@@ -98,6 +98,7 @@ SOUGHT = [
     "bool_must_not",
     "bool_must_should",
     "bool_nested_group",
+    "bool_nested_not_ignored",
 ]
 
 
