@@ -99,6 +99,7 @@ SOUGHT = [
     "bool_must_should",
     "bool_nested_group",
     "bool_nested_not_ignored",
+    "boost_zero",
 ]
 
 
