@@ -100,6 +100,7 @@ SOUGHT = [
     "bool_nested_group",
     "bool_nested_not_ignored",
     "boost_zero",
+    "field_boost",
 ]
 
 
