@@ -101,6 +101,7 @@ SOUGHT = [
     "bool_nested_not_ignored",
     "boost_zero",
     "field_boost",
+    "group_boost",
 ]
 
 
