@@ -102,6 +102,7 @@ SOUGHT = [
     "boost_zero",
     "field_boost",
     "group_boost",
+    "must_not_phrase",
 ]
 
 
