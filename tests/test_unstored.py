@@ -1,13 +1,16 @@
 """The index whose postings are made when they are asked for, against the plain evaluator, and what its searches read."""
 
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from test_search import CONFIG, as_hits, corpus, expected, query, ranked
-from vellum.functions.analysis import KEYWORD, STANDARD, Analyzer, standard_tokens, standard_words
+from vellum.functions import scan
+from vellum.functions.analysis import KEYWORD, STANDARD, STOP_WORDS, Analyzer, standard_tokens, standard_words
 from vellum.operators.batch import search_many
 from vellum.operators.index_build import lengths_of, postings, unstored, with_ids
 from vellum.operators.search import search
@@ -130,3 +133,37 @@ def test_counted_and_sought_tokens_are_those_of_all(spark):
             some = [t for t in every if t[0] in ("fox", "the", "kelvin", "because", "becauses")]
             assert every == a.words(texts[r.i] or "") and max(r.n or 0, 0) == len(every)
             assert [([(t.term, t.position) for t in s.tokens], s.length) for s in r.s or []] == ([(some, len(every))] if some else [])
+
+
+@pytest.mark.parametrize("name", ["bool_should"])
+def test_words_are_scanned_not_cut(spark, sf_dir, name):
+    text = plan(__spark_entry__.queries()[name](spark, sf_dir))
+    scans = [x for x in text.split("\n") if "ArrowEvalPython" in x]
+    # The three fields of the standard analyzer meet in each scan, and no text is cut into an array of words.
+    assert len(scans) >= 2 and all(x.count("run(") == 3 for x in scans) and "split(" not in text
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 18])
+def test_scanned_tokens_are_those_of_the_analyzer(monkeypatch, block):
+    monkeypatch.setattr(scan, "BLOCK", block)
+    rng, stops = random.Random(block), scan.Heads(scan.head(w.encode()) for w in STOP_WORDS)
+    parts = ["a", "B", "the", "The", "although", "althoughX", "fox", "K", "İ", "_", "9", "ä", "ß", " ", "-", "\n", "erin", "wordslon", "wordslonger", "\0", "日本"]
+    terms = ["fox", "the", "erin", "althoughx", "althoughxx", "wordslon", "wordslonger", "k9", "foxk", "src 1", "ä"]
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(rng.randrange(12))]
+        for kind in (pa.string(), pa.large_string()):
+            given = pa.array(["fox", *texts, "fox"], kind).slice(1, len(texts))
+            every = [standard_words(t or "") for t in texts]
+            assert scan.counted(given, stops).to_pylist() == [len(w) for w in every]
+            found = [[{"tokens": [{"term": t, "position": i} for t, i in w if t in terms], "length": len(w)}] if any(t in terms for t, _ in w) else [] for w in every]
+            assert pickle.loads(pickle.dumps(scan.Finder(terms, STOP_WORDS))).find(given).to_pylist() == found
+            assert scan.Finder(["src 1"], STOP_WORDS).find(given).to_pylist() == [[]] * len(texts)
+
+
+def test_found_tokens_are_those_sought(spark):
+    texts = ["", None, "fox", "-the fox THE Fox x xx", "İx Kelvin fox", "a_b 12 1", "ä fox ß Fox"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    terms = ("fox", "the", "kelvin", "12")
+    wanted = lambda term: term.isin(*terms)
+    got = df.select(STANDARD.sought(F.col("t"), wanted).alias("a"), STANDARD.sought(F.col("t"), wanted, terms).alias("b")).collect()
+    assert [r.a or [] for r in got] == [r.b for r in got] and any(r.b for r in got)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions import scan
+
 STOP_WORDS = tuple(
     sorted(
         set(
@@ -31,25 +33,32 @@ _RUN = re.compile(r"[a-z0-9_]+")
 @dataclass(frozen=True)
 class Analyzer:
     """``cut`` and ``token``, which an analyzer may leave out, tell its tokens before they are made: ``cut`` has the word at each place, from 1,
-    and ``token`` is the token of a word and whether it is one, so that tokens are counted and sought without making the others."""
+    and ``token`` is the token of a word and whether it is one, so that tokens are counted and sought without making the others.  ``counter`` and
+    ``finder``, which it may leave out too, do the same for whole texts: the number of tokens, and the tokens that are one of some terms."""
 
     name: str
     column: Callable[[Column], Column]
     words: Callable[[str], list[tuple[str, int]]]
     cut: Callable[[Column], Column] | None = None
     token: Callable[[Column], tuple[Column, Column]] | None = None
+    counter: Callable[[Column], Column] | None = None
+    finder: Callable[[Column, tuple[str, ...]], Column] | None = None
 
     def count(self, text: Column) -> Column:
         """The number of the text's tokens."""
+        if self.counter is not None:
+            return self.counter(text)
         if self.cut is None:
             return F.size(self.column(text))
         return F.size(F.filter(self.cut(text), lambda t: self.token(t)[1]))
 
-    def sought(self, text: Column, wanted: Callable[[Column], Column]) -> Column:
+    def sought(self, text: Column, wanted: Callable[[Column], Column], terms: tuple[str, ...] | None = None) -> Column:
         """array<struct<tokens, length>>: the tokens with a wanted term and the number of all, or nothing where no term is wanted.
 
-        The text is cut once; tokens are counted only where one is wanted.
+        The text is cut once; tokens are counted only where one is wanted.  ``terms`` are all wanted ones, where they can be listed.
         """
+        if terms is not None and self.finder is not None:
+            return self.finder(text, terms)
         if self.cut is None:
             pick = lambda ts: F.filter(ts, lambda t: wanted(t["term"]))
             words, size = self.column(text), F.size
@@ -125,7 +134,15 @@ def keyword_words(text: str) -> list[tuple[str, int]]:
     return [(value, 1)] if value else []
 
 
-STANDARD = Analyzer("standard", standard_tokens, standard_words, standard_cut, standard_token)
+def standard_count(text: Column) -> Column:
+    return scan.count(text, STOP_WORDS)
+
+
+def standard_find(text: Column, terms: tuple[str, ...]) -> Column:
+    return scan.find(text, terms, STOP_WORDS)
+
+
+STANDARD = Analyzer("standard", standard_tokens, standard_words, standard_cut, standard_token, standard_count, standard_find)
 KEYWORD = Analyzer("keyword", keyword_tokens, keyword_words, keyword_cut, keyword_token)
 _registry = {a.name: a for a in (STANDARD, KEYWORD)}
 

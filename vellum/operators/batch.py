@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import IndexConfig
-from vellum.operators.index_build import Snapshot
+from vellum.operators.index_build import Listed, Snapshot
 from vellum.operators.scoring import BM25, Scorer
 from vellum.operators.search import BROADCAST_ROWS, TIE, deleted_places
 from vellum.plans.compile import Compiled, Condition, Leaf, compile_query, wildcard_regex
@@ -186,7 +186,7 @@ def search_many(snap: Snapshot, queries: DataFrame, config: IndexConfig, top_k:
     words = rows.select("field", "term").distinct()
     longest = LISTED if snap.source is None else SET
     listed = [r["term"] for r in rows.select("term").distinct().limit(longest + 1).collect()]
-    is_listed = lambda field, term: term.isin(listed) if len(listed) <= longest else F.lit(True)
+    is_listed = Listed(tuple(listed)) if len(listed) <= longest else lambda field, term: F.lit(True)
     segments = snap.segments if snap.source is None else snap.meta.count()
     dims = snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord").join(snap.field_stats.select("segment_id", "field", "avg_length"), "segment_id")
     dims = _few(dims, segments * max(1, len(snap.fields)) if segments is not None else None)

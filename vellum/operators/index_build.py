@@ -1,4 +1,4 @@
-"""From documents to an inverted index, all in built-in expressions.
+"""From documents to an inverted index, in built-in expressions but for texts of which tokens are only counted or sought (``functions.scan``).
 
 Tables of an index (a snapshot holds one DataFrame of each):
 
@@ -28,6 +28,16 @@ TABLES = ("docs", "postings", "term_stats", "field_stats", "meta", "tombstones")
 Wanted = Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class Listed:
+    """Wants the postings of some terms, of whatever field."""
+
+    terms: tuple[str, ...]
+
+    def __call__(self, field: Column, term: Column) -> Column:
+        return term.isin(*self.terms) if self.terms else F.lit(False)
+
+
 @dataclass
 class Snapshot:
     docs: DataFrame
@@ -111,7 +121,8 @@ def analyzed(docs: DataFrame, config: IndexConfig, wanted: Wanted | None = None)
     def of(name: str, found: Column) -> Column:
         return F.transform(found, lambda h: F.struct(F.lit(name).alias("field"), h["tokens"].alias("tokens"), h["length"].alias("length")))
 
-    sought = [of(c, a.sought(text, partial(wanted, F.lit(c)))) for c, a, text in fields]
+    terms = wanted.terms if isinstance(wanted, Listed) else None
+    sought = [of(c, a.sought(text, partial(wanted, F.lit(c)), terms)) for c, a, text in fields]
     return docs.select("segment_id", "doc_ord", F.explode(F.flatten(F.array(*sought))).alias("f")).select("segment_id", "doc_ord", "f.field", "f.tokens", "f.length")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.config import IndexConfig
-from vellum.operators.index_build import Snapshot
+from vellum.operators.index_build import Listed, Snapshot
 from vellum.operators.scoring import BM25, Scorer
 from vellum.plans.ast import Node
 from vellum.plans.compile import Compiled, Condition, Leaf, PhraseIn, compile_query, wildcard_regex
@@ -66,12 +66,12 @@ def phrase_fits(phrase: PhraseIn, places: dict[tuple[str, str], Column]) -> Colu
 def relevant(snap: Snapshot, c: Compiled) -> DataFrame:
     """Postings that the query touches, with df, segment size and average length."""
     leaves = list(dict.fromkeys([*(leaf for leaf, _ in c.scores), *c.leaves(), *c.excluded, *(Leaf(p.field, t) for p in c.phrases() for t, _ in p.words), *(c.loaded if c.uses_active() else ())]))
-    terms = sorted({leaf.term for leaf in leaves if not leaf.regex})
+    listed, patterns = Listed(tuple(sorted({leaf.term for leaf in leaves if not leaf.regex}))), [leaf for leaf in leaves if leaf.regex]
 
     def wanted(field: Column, term: Column) -> Column:
-        return _any([*([term.isin(terms)] if terms else []), *(leaf_condition(leaf, field, term) for leaf in leaves if leaf.regex)])
+        return _any([listed(field, term), *(leaf_condition(leaf, field, term) for leaf in patterns)])
 
-    return snap.select(wanted).join(snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord"), "segment_id").join(snap.field_stats.select("segment_id", "field", "avg_length"), ["segment_id", "field"], "left")
+    return snap.select(wanted if patterns else listed).join(snap.meta.select("segment_id", F.col("doc_count").alias("n_docs"), "seg_ord"), "segment_id").join(snap.field_stats.select("segment_id", "field", "avg_length"), ["segment_id", "field"], "left")
 
 
 def matches(snap: Snapshot, query: str | Node, config: IndexConfig, scorer: Scorer | None = None) -> DataFrame:
