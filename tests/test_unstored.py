@@ -135,7 +135,7 @@ def test_counted_and_sought_tokens_are_those_of_all(spark):
             assert [([(t.term, t.position) for t in s.tokens], s.length) for s in r.s or []] == ([(some, len(every))] if some else [])
 
 
-@pytest.mark.parametrize("name", ["bool_should"])
+@pytest.mark.parametrize("name", ["bool_should", "phrase_should_partial_score"])
 def test_words_are_scanned_not_cut(spark, sf_dir, name):
     text = plan(__spark_entry__.queries()[name](spark, sf_dir))
     scans = [x for x in text.split("\n") if "ArrowEvalPython" in x]
