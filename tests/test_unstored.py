@@ -62,6 +62,13 @@ def test_registered_queries_keep_no_postings(spark, sf_dir, name):
     assert not [x for x in kept if "positions" in x or "term" in x]
 
 
+def test_a_phrase_search_keeps_the_statistics_alone(spark, sf_dir):
+    text = plan(__spark_entry__.queries()["phrase_should_partial_score"](spark, sf_dir))
+    kept = [x for x in text.split("\n") if "InMemoryTableScan" in x]
+    # All postings with their places would be several times the documents.
+    assert kept and not [x for x in kept if "positions" in x or "term" in x]
+
+
 def test_runs_are_cut_as_the_words_of_queries(spark):
     texts = ["İstanbul KELVIN_1 xKy", "Äpfel ẞ Straße9 ΣΣ", "a\U0001f600B2 The THE", "", "--", "_ __ 1 22"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", standard_tokens(F.col("t")).alias("k"))
